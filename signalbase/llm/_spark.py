@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished steps now.
+
+        They go when the driver collects the frames that made them; a long run of
+        steps would otherwise hold all of them on the executors' disks.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
