@@ -50,3 +50,15 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     context._signalbase_shipped = True
     return spark
+
+
+def checkpoint(df):
+    """Cut a frame's lineage with a reliable checkpoint in the session's shared folder.
+
+    A folder of the driver is set only where the session names none (local runs).
+    """
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or getattr(context, "_signalbase_checkpoints", False)):
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="signalbase-"))
+        context._signalbase_checkpoints = True
+    return df.checkpoint()
