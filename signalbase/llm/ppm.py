@@ -34,11 +34,11 @@ from ._text import LOWER, Chunk, chunks, doc_index, hash_runs, mix64
 
 MAX_ORDER = 4
 MIN_ORDER = 2
-MAX_NODES = 1_500_000
+MAX_NODES = 1_000_000
 MAX_WORDS = 400_000
 FOLDS, HELD_OUT = 5, 1
 END_WORD = 0
-COMPACT = 1 << 21
+COMPACT = 1 << 20
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -51,7 +51,7 @@ class Table:
     def __init__(self, keys: np.ndarray):
         self.bits = max(4, int(len(keys)).bit_length())
         order = np.argsort(mix64(keys), kind="stable")
-        self.order, self.keys = order, np.append(keys[order], np.uint64(0))
+        self.order, self.keys = order.astype(np.int32), np.append(keys[order], np.uint64(0))
         bucket = (mix64(keys[order]) >> np.uint64(64 - self.bits)).astype(np.int64)
         self.pointer = np.searchsorted(bucket, np.arange((1 << self.bits) + 1)).astype(np.int32)
         self.deepest = int(np.diff(self.pointer).max()) if len(keys) else 0
@@ -87,8 +87,8 @@ class Trie:
             count = np.bincount(where, counts, len(gram))
             ctx, of = np.unique(gram >> np.uint64(8), return_inverse=True)
             n, q = np.bincount(of, count, len(ctx)), np.bincount(of, minlength=len(ctx))
-            level = {"gram": Table(gram), "ctx": Table(ctx), "n": n, "q": q, "count": count}
-            level["top"] = np.log10(count / (n + q)[of])
+            level = {"gram": Table(gram), "ctx": Table(ctx), "n": n, "q": q.astype(np.int32), "count": count}
+            level["top"] = np.log10(count / (n + q)[of]).astype(np.float32) if j == order else None
             if j:
                 # what exclusion of this context's symbols leaves of the next shorter
                 shorter = self.levels[j - 1]
