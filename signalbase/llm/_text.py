@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BASE = 0x2545F4914F6CDD1D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
