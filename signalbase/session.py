@@ -18,6 +18,9 @@ DEFAULTS = {
 }
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def build(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; ``conf`` entries win."""
     builder = SparkSession.builder.appName("signalbase")
@@ -40,8 +43,14 @@ def package_zip() -> bytes:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the package to the executors once a context, through Spark's own files."""
+    """Give the package to the executors once a context, through Spark's own files.
+
+    Arrow batches, unless the session names their size, get ``BATCH_ROWS`` rows, so
+    that batches of whole texts stay small in Python workers.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_CONF, "10000") == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     if getattr(context, "_signalbase_shipped", False):
         return spark
     folder = tempfile.mkdtemp(prefix="signalbase-")
