@@ -7,9 +7,15 @@ of method C, and symbols of the longer context are excluded from the shorter one
 counts. What remains after order 0 is uniform. A document's score is the log10
 probability of its bytes under the pretrained trie.
 
-The trie is broadcast, so its size is checked first: the order is the largest whose
-counted nodes are within ``MAX_NODES``; order 2 has at most 2**24 nodes whatever the
-corpus. Word counts are not bounded: frequent words (at most ``MAX_WORDS``) are looked
+The trie is never held whole. Texts go in blocks of about ``BLOCK`` bytes; each block
+names its distinct grams, their counts are summed over the corpus, and all grams that
+share their last two context bytes meet in one bucket, where the trie's levels from
+order 2 on are complete (at most 2**24 grams for each two bytes, whatever the corpus).
+Orders 0 and 1 have at most 2**16 grams and are sent along. The bucket gives each gram
+its log probability, which goes back to the blocks that named it. So the order is the
+same at every size, and what a task holds follows the block or the bucket.
+
+Word counts are not bounded either: frequent words (at most ``MAX_WORDS``) are looked
 up from a broadcast table while reading, the others by a shuffled join.
 
 Training documents are those whose crc32(id as text) mod 5 is not 1.
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +40,9 @@ from ._spark import Scratch
 from ._text import LOWER, Chunk, chunks, doc_index, hash_runs, mix64
 
 MAX_ORDER = 4
-MIN_ORDER = 2
-MAX_NODES = 1_000_000
+SHARED = 2
+BLOCK = 1 << 25
+BUCKET_GRAMS = 1 << 18
 MAX_WORDS = 400_000
 FOLDS, HELD_OUT = 5, 1
 END_WORD = 0
@@ -75,20 +83,23 @@ class Table:
 
 
 class Trie:
-    """A pretrained model from the counts of (order + 1)-byte grams."""
+    """A pretrained model of a bucket: levels below ``SHARED`` from ``low``, the rest from ``grams``.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
+    ``low`` is (keys, counts) of the ``SHARED``-byte grams of the whole corpus; ``grams``
+    are (order + 1)-byte grams, all that the corpus has of each of their last contexts
+    of ``SHARED`` bytes.
+    """
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], grams: np.ndarray, counts: np.ndarray, order: int):
         self.order = order
         self.levels = []
-        below_ctx: np.ndarray | None = None
         for j in range(order + 1):
-            key = grams & np.uint64((1 << 8 * (j + 1)) - 1)
-            gram, where = np.unique(key, return_inverse=True)
-            count = np.bincount(where, counts, len(gram))
+            keys, times = low if j < SHARED else (grams, counts)
+            gram, where = np.unique(keys & np.uint64((1 << 8 * (j + 1)) - 1), return_inverse=True)
+            count = np.bincount(where, times, len(gram))
             ctx, of = np.unique(gram >> np.uint64(8), return_inverse=True)
             n, q = np.bincount(of, count, len(ctx)), np.bincount(of, minlength=len(ctx))
             level = {"gram": Table(gram), "ctx": Table(ctx), "n": n, "q": q.astype(np.int32), "count": count}
-            level["top"] = np.log10(count / (n + q)[of]).astype(np.float32) if j == order else None
             if j:
                 # what exclusion of this context's symbols leaves of the next shorter
                 shorter = self.levels[j - 1]
@@ -97,22 +108,17 @@ class Trie:
                 level["escape"] = (shorter["q"][parent] - q).astype(float)
                 level["total"] = shorter["n"][parent] - np.bincount(of, seen, len(ctx)) + level["escape"]
             self.levels.append(level)
-            below_ctx = ctx
-        self.seen = int(self.levels[0]["q"][0]) if below_ctx is not None and len(grams) else 0
+        self.seen = int(self.levels[0]["q"][0]) if len(low[0]) else 0
 
     def bits(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each (order + 1)-byte gram."""
         out = np.zeros(len(grams))
         if not self.seen:
             return np.full(len(grams), -np.log10(256.0))
-        at = self.levels[-1]["gram"].find(grams)
-        hit = at >= 0
-        out[hit] = self.levels[-1]["top"][at[hit]]
-        left = np.flatnonzero(~hit)
-        above = np.full(len(left), -1, np.int64)
+        left, above = np.arange(len(grams)), np.full(len(grams), -1, np.int64)
         for j in range(self.order, -1, -1):
             if not len(left):
-                return out
+                break
             level, key = self.levels[j], grams[left] & np.uint64((1 << 8 * (j + 1)) - 1)
             node = level["ctx"].find(key >> np.uint64(8))
             known = node >= 0
@@ -161,10 +167,10 @@ class _Counts:
     def __init__(self):
         self.keys, self.counts, self.size = [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, weight: int = 1) -> None:
         key, count = np.unique(keys, return_counts=True)
         self.keys.append(key)
-        self.counts.append(count)
+        self.counts.append(count * weight)
         self.size += len(key)
         if self.size > COMPACT and len(self.keys) > 1:
             key, count = self.total()
@@ -177,34 +183,72 @@ class _Counts:
         return key, np.bincount(where, np.concatenate(self.counts), len(key)).astype(np.int64)
 
 
-def count(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(kind, key, n): words (0) and grams (1) of all training documents."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(block, row, doc_id, text): rows numbered, in blocks of about ``BLOCK`` bytes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = [_Counts(), _Counts()]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                key, n = both[kind].total()
-                both[kind] = _Counts()
-                for a in range(0, len(key), 1 << 18):
-                    k = key[a : a + (1 << 18)].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + (1 << 18)])], ["kind", "key", "n"])
+        from pyspark import TaskContext
 
+        first = TaskContext.get().partitionId() << 40
+        row = size = 0
         for batch in batches:
-            train = ~held_out(batch.column(0))
-            for chunk in chunks(batch.column(1)):
-                mine = train[chunk.lo : chunk.hi]
-                words, pointer = word_hashes(chunk)
-                of = doc_index(pointer)
-                both[0].add(np.concatenate((words[mine[of]], np.full(int(mine.sum()), END_WORD, np.uint64))))
-                grams, doc = byte_grams(chunk)
-                both[1].add(grams[mine[doc]])
-            if max(c.size for c in both) > COMPACT:
-                yield from flush()
-        yield from flush()
+            ends = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.concatenate(([size], ends[:-1]))[: len(ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(first + starts // BLOCK), pa.array(first + row + np.arange(len(ends))), *batch.columns], ["block", "row", "doc_id", "text"])
+            row, size = row + len(ends), int(ends[-1]) if len(ends) else size
+
+    return docs.mapInArrow(apply, "block long, row long, doc_id long, text string")
 
-    return scratch.save(docs.mapInArrow(apply, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+
+def _runs(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch within which the columns named do not change."""
+    n = batch.num_rows
+    change = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        v = batch.column(c).to_numpy(zero_copy_only=False)
+        change |= v[1:] != v[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def count(blocks: DataFrame) -> DataFrame:
+    """(kind, block, key, n): words (0) and grams (1) and their count in training documents.
+
+    Grams are named by block, those that only held-out documents have with a count of 0.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams, block = _Counts(), _Counts(), None
+
+        def flush(kind: int, counts: _Counts) -> Iterator[pa.RecordBatch]:
+            key, n = counts.total()
+            for a in range(0, len(key), 1 << 18):
+                k = key[a : a + (1 << 18)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), block, np.int64)), pa.array(k), pa.array(n[a : a + (1 << 18)])], ["kind", "block", "key", "n"])
+
+        for whole in batches:
+            for batch in _runs(whole, 0):
+                if batch.column(0)[0].as_py() != block:
+                    yield from flush(1, grams)
+                    grams, block = _Counts(), batch.column(0)[0].as_py()
+                train = ~held_out(batch.column(2))
+                for chunk in chunks(batch.column(3)):
+                    mine = train[chunk.lo : chunk.hi]
+                    hashes, pointer = word_hashes(chunk)
+                    words.add(np.concatenate((hashes[mine[doc_index(pointer)]], np.full(int(mine.sum()), END_WORD, np.uint64))))
+                    gram, doc = byte_grams(chunk)
+                    known = mine[doc]
+                    grams.add(gram[known])
+                    grams.add(gram[~known], 0)
+                if words.size > COMPACT:
+                    yield from flush(0, words)
+                    words = _Counts()
+        yield from flush(1, grams)
+        yield from flush(0, words)
+
+    return blocks.mapInArrow(apply, "kind int, block long, key long, n long")
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -212,16 +256,24 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [np.asarray(table[n].combine_chunks()) if table.num_rows else np.zeros(0, np.int64) for n in names]
 
 
-def train(counts: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie of the largest order whose nodes are within the bound."""
-    grams = counts.where("kind = 1")
-    for order in range(MAX_ORDER, MIN_ORDER - 1, -1):
-        if order < MAX_ORDER:
-            grams = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if order == MIN_ORDER or grams.limit(max_nodes + 1).count() <= max_nodes:
-            key, n = _columns(grams, "key", "n")
-            return Trie(key.astype(np.int64).view(np.uint64), n.astype(float), order)
-    raise AssertionError
+def gram_scores(totals: DataFrame) -> DataFrame:
+    """(key, bits): log10 probability of the last byte of each gram.
+
+    totals: distinct key, and n, its count in training documents (0: held-out only).
+    """
+    below = totals.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+    keys, times = _columns(below, "key", "n")  # at most 2**16 rows
+    low = keys.astype(np.int64).view(np.uint64), times.astype(float)
+    buckets = max(1, -(-totals.count() // BUCKET_GRAMS))
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1))
+
+    def apply(table: pa.Table) -> pa.Table:
+        key, n = (table.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
+        grams, known = key.view(np.uint64), n > 0
+        bits = Trie(low, grams[known], n[known].astype(float), MAX_ORDER).bits(grams)
+        return pa.table({"key": pa.array(key), "bits": pa.array(bits.astype(np.float32))})
+
+    return totals.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(buckets))).groupBy("bucket").applyInArrow(apply, "key long, bits float")
 
 
 def frequent_words(words: DataFrame, max_words: int = MAX_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -244,55 +296,71 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Base and model scores of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = count(texts, scratch)
+    blocks = scratch.save(in_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "texts")
+    counts = scratch.save(count(blocks), "counts")
+    total = lambda kind: counts.where(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n"))
+    words, totals = scratch.save(total(0), "words"), scratch.save(total(1), "grams")
+    bits = scratch.save(gram_scores(totals), "bits")
     scratch.release()
-    words = counts.where("kind = 0").select("key", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, keys, ns = frequent_words(words)
-    trie = train(counts)
-    model = spark.sparkContext.broadcast((trie, Table(keys), np.log10(ns + 0.5)))
+    model = spark.sparkContext.broadcast((Table(keys), np.log10(ns + 0.5)))
     half = float(np.log10(0.5))
+    named = counts.where("kind = 1").select("block", "key").join(bits, "key")
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = named.select("block", F.lit(0).alias("part"), "key", "bits", none("long").alias("doc_id"), none("string").alias("text")).union(
+        blocks.select("block", F.lit(1), "row", none("float"), "doc_id", "text")
+    )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        trie, table, logs = model.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out = held_out(batch.column(0))
-            for chunk in chunks(batch.column(1)):
-                hashes, pointer = word_hashes(chunk)
-                hashes = np.insert(hashes, pointer[1:], np.uint64(END_WORD))
-                pointer = pointer + np.arange(len(pointer))
-                of, at = doc_index(pointer), table.find(hashes)
-                common = at >= 0
-                base = np.bincount(of[common], logs[at[common]], len(chunk))
-                known = np.bincount(of[common], minlength=len(chunk))
-                rare, rare_of = hashes[~common], of[~common]
-                order = np.lexsort((rare, rare_of))
-                rare, rare_of = rare[order], rare_of[order]
-                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(rare)), bool), (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1]))))
-                times = np.diff(np.append(first, len(rare)))
-                base += half * np.bincount(rare_of, minlength=len(chunk))
-                cut = np.searchsorted(rare_of[first], np.arange(len(chunk) + 1)).astype(np.int32)
-                grams, doc = byte_grams(chunk, trie.order)
-                bits = np.bincount(doc, trie.bits(grams), len(chunk))
-                columns = [
-                    pa.array(row + np.arange(len(chunk))),
-                    batch.column(0).slice(chunk.lo, len(chunk)),
-                    pa.array(out[chunk.lo : chunk.hi]),
-                    pa.array(np.diff(pointer).astype(np.int64)),
-                    pa.array(known.astype(np.int64)),
-                    pa.array(base),
-                    pa.array(bits),
-                    pa.ListArray.from_arrays(cut, pa.array(rare[first].view(np.int64))),
-                    pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))),
-                ]
-                row += len(chunk)
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "words", "times"])
-
-    scored = scratch.save(texts.mapInArrow(apply, ROW), "scored")
+        table, logs = model.value
+        block, pieces, grams, values = None, [], None, None
+        for whole in batches:
+            for batch in _runs(whole, 0, 1):
+                if batch.column(0)[0].as_py() != block:
+                    block, pieces, grams = batch.column(0)[0].as_py(), [], None
+                if batch.column(1)[0].as_py() == 0:
+                    pieces.append((batch.column(2).to_numpy(), batch.column(3).to_numpy()))
+                    continue
+                if grams is None:
+                    grams = Table(np.concatenate([k for k, _ in pieces]).view(np.uint64))
+                    values, pieces = np.concatenate([v for _, v in pieces]).astype(float), []
+                out = held_out(batch.column(4))
+                for chunk in chunks(batch.column(5)):
+                    hashes, pointer = word_hashes(chunk)
+                    hashes = np.insert(hashes, pointer[1:], np.uint64(END_WORD))
+                    pointer = pointer + np.arange(len(pointer))
+                    of, at = doc_index(pointer), table.find(hashes)
+                    common = at >= 0
+                    base = np.bincount(of[common], logs[at[common]], len(chunk))
+                    known = np.bincount(of[common], minlength=len(chunk))
+                    rare, rare_of = hashes[~common], of[~common]
+                    order = np.lexsort((rare, rare_of))
+                    rare, rare_of = rare[order], rare_of[order]
+                    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(rare)), bool), (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1]))))
+                    times = np.diff(np.append(first, len(rare)))
+                    base += half * np.bincount(rare_of, minlength=len(chunk))
+                    cut = np.searchsorted(rare_of[first], np.arange(len(chunk) + 1)).astype(np.int32)
+                    gram, doc = byte_grams(chunk)
+                    place = grams.find(gram)
+                    if len(place) and place.min() < 0:
+                        raise ValueError(f"block {block} lacks a gram of its texts")
+                    columns = [
+                        batch.column(2).slice(chunk.lo, len(chunk)),
+                        batch.column(4).slice(chunk.lo, len(chunk)),
+                        pa.array(out[chunk.lo : chunk.hi]),
+                        pa.array(np.diff(pointer).astype(np.int64)),
+                        pa.array(known.astype(np.int64)),
+                        pa.array(base),
+                        pa.array(np.bincount(doc, values[place], len(chunk))),
+                        pa.ListArray.from_arrays(cut, pa.array(rare[first].view(np.int64))),
+                        pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "words", "times"])
+
+    scored = scratch.save(parts.repartition("block").sortWithinPartitions("block", "part").mapInArrow(apply, ROW), "scored")
+    scratch.drop("texts", "counts", "grams", "bits")
+    scratch.release()
     pairs = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("key"), F.col("x.times").alias("times"))
     rare = pairs.join(words.where(F.col("n") < F.lit(least)), "key")
     found = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(half))).alias("gain"))

@@ -350,6 +350,20 @@ def test_ppm(spark, odd):
     assert ppm.score(df.where("false")).count() == 0
 
 
+def test_ppm_scores_follow_neither_blocks_nor_buckets(docs, monkeypatch):
+    few = docs.where("doc_id < 60").repartition(3)
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    whole = {r["doc_id"]: r["score"] for r in ppm.score(few).collect()}
+    monkeypatch.setattr(ppm, "BLOCK", 3000)
+    monkeypatch.setattr(ppm, "BUCKET_GRAMS", 200)
+    cut = {r["doc_id"]: r["score"] for r in ppm.score(few).collect()}
+    assert whole.keys() == cut.keys() == texts.keys()
+    assert all(cut[i] == pytest.approx(whole[i]) for i in whole)
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    for i in [min(texts, key=lambda i: len(texts[i])), *(i for i in sorted(texts) if zlib.crc32(str(i).encode()) % 5 == 1)][:3]:
+        assert cut[i] == pytest.approx(brute_ppm(train, texts[i], ppm.MAX_ORDER))
+
+
 def test_rare_words_join_as_frequent_ones(docs, monkeypatch):
     few = docs.where("doc_id < 100")
     a = {r["doc_id"]: r for r in ppm.score(few).collect()}
