@@ -17,6 +17,27 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 QUAKE_WORDS = ("sismo", "temblor", "terremoto", "telurico", "replica")
 GENERIC_PLACES = ("panama", "sismo", "sismos", "temblor", "region", "zona", "cerca", "sureste", "suroeste", "noreste", "noroeste", "south", "north", "east", "west", "near")
 OTHER = "otros"
+# fixed values: labels of topics, names of countries
+TOPIC_LABELS = {
+    "economia": "Economía",
+    "logistica_canal": "Logística canal",
+    "turismo": "Turismo",
+    "servicios_publicos": "Servicios públicos",
+    "eventos_naturales": "Eventos naturales",
+    "regulacion": "Regulación",
+    "otros": "Otros",
+}
+COUNTRIES = {"PAN": "Panamá"}
+# fixed values: review states of new drafts, scopes of drafts, gaps they name
+STATE_NEW, STATE_UNSUPPORTED = "nuevo", "requiere evidencia"
+SCOPE_HEADLINES = "basado únicamente en titular/metadatos"
+SCOPE_OFFICIAL = "basado en titular/metadatos y datos oficiales citados (indicadores anuales o eventos USGS)"
+GAP_NONE = "No hay evidencia citable para este grupo."
+GAP_MODEL = "El modelo no devolvió una salida utilizable ({})."
+GAP_INJECTION = "La salida del modelo obedeció contenido de una fuente."
+GAP_UNSUPPORTED = "Ninguna afirmación del modelo quedó sustentada por la evidencia."
+# fixed values: answers of reviewers that mean yes
+YES = ("si", "sí", "s", "yes", "y")
 
 
 @dataclass(frozen=True)

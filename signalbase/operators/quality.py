@@ -68,8 +68,18 @@ def complete_grid(values: DataFrame, members: list[DataFrame], keys: list[str],
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(fingerprint, n): changes with any row's content, whatever the order of rows."""
-    return df.agg(F.bit_xor(F.xxhash64(*columns)).alias("fingerprint"), F.count("*").alias("n"))
+    """(fingerprint, n): changes with any row's content, whatever the order of rows.
+
+    Hashes are summed, not xored, so that repeated rows do not cancel each other.
+    """
+    return df.agg(F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"), F.count("*").alias("n"))
+
+
+def unchanged(df: DataFrame, columns: list[str], known: tuple[str, str] | None, version: str) -> tuple[bool, tuple[str, str]]:
+    """(whether a stage may be skipped, its new mark): same schema version, same input."""
+    row = fingerprint(df, columns).first()
+    mark = (version, f"{row['fingerprint']}:{row['n']}")
+    return mark == known, mark
 
 
 def changed_rows(new: DataFrame, old: DataFrame, key: str, columns: list[str]) -> DataFrame:

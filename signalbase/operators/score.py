@@ -93,11 +93,6 @@ def score_groups(groups: DataFrame, rules: config.Rules = config.Rules()) -> Dat
     return scored.withColumn("priority", priority(F.col("score"), rules)).withColumn("rules_version", F.lit(rules.version))
 
 
-def motives(rules: config.Rules) -> Column:
-    """Readable sum of the components."""
-    return F.concat_ws("; ", *(F.concat(F.lit(f"{c}="), F.round(c, 2).cast("string"), F.lit(f" x {w}")) for c, w in rules.weights.items()))
-
-
 def _near(groups: DataFrame, events: DataFrame, before: float, after: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Groups with events of times in [ts - after, ts + before] hours.
 

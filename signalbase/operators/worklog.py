@@ -24,7 +24,7 @@ def state_counts(items: DataFrame, kind: str, state: str) -> DataFrame:
 
 
 def next_id(items: DataFrame, key: str, prefix: str) -> DataFrame:
-    """(next_id): prefix, then the largest number so far plus one, three digits."""
+    """(next_id): prefix, then the largest number so far plus one, three digits or more."""
     n = F.regexp_extract(F.coalesce(F.col(key), F.lit("")), rf"^{prefix}-(\d+)$", 1)
     top = items.agg(F.coalesce(F.max(F.nullif(n, F.lit("")).cast("int")), F.lit(0)).alias("m"))
-    return top.select(F.concat(F.lit(f"{prefix}-"), F.lpad((F.col("m") + 1).cast("string"), 3, "0")).alias("next_id"))
+    return top.select(F.concat(F.lit(f"{prefix}-"), F.format_string("%03d", F.col("m") + 1)).alias("next_id"))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import dates, text, vectors
-from ..operators import classify, cluster, consolidate, evaluate, evidence, grounding, inbox, qa, quality, score, worklog
+from ..functions import dates, display, text, vectors
+from ..operators import classify, cluster, consolidate, evaluate, evidence, fichas, grounding, inbox, qa, quality, review, score, worklog
+from ..sources import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,3 +575,143 @@ def state_counts(spark, sf):
 def referential_faults(spark, sf):
     items = table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
     return quality.referential_faults(items.withColumn("parent", F.when(F.col("id") % 2 == 1, -F.col("id"))), "id", "parent")
+
+
+@query("SELECT 'ORD-' || (max(o_orderkey) + 1) AS next_id FROM orders")
+def next_id(spark, sf):
+    return worklog.next_id(table(spark, sf, "orders").select(F.concat(F.lit("ORD-"), "o_orderkey").alias("id")), "id", "ORD")
+
+
+# --- what people read -------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Logística canal' WHEN 1 THEN 'Regulación' ELSE upper(left(replace(p_type, ' ', '_'), 1)) || lower(substr(replace(replace(p_type, ' ', '_'), '_', ' '), 2)) END AS label FROM part")
+def topic_labels(spark, sf):
+    topic = F.when(F.col("p_partkey") % 3 == 0, "logistica_canal").when(F.col("p_partkey") % 3 == 1, "regulacion").otherwise(F.replace("p_type", F.lit(" "), F.lit("_")))
+    return table(spark, sf, "part").select("p_partkey", display.topic_label(topic).alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'No disponible' ELSE strftime(ts, '%d/%m/%Y') END AS shown, least(greatest(value - 10, 0), 100) AS percent FROM events")
+def date_labels(spark, sf):
+    ts = F.when(F.col("event_id") % 7 != 0, F.col("ts"))
+    return table(spark, sf, "events").select("event_id", display.date_label(ts).alias("shown"), display.percent(F.col("value") - 10).alias("percent"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]+', '__', 'g') AS name FROM pages")
+def safe_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", display.safe_name(F.col("url")).alias("name"))
+
+
+def _parts(spark, sf):
+    k = F.col("o_orderkey")
+    pick = lambda i, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (k % i + 1).cast("int"))
+    return table(spark, sf, "orders").select(
+        k, pick(3, "economia", "eventos_naturales", "turismo").alias("topic"), (k % 2 == 0).alias("national"), pick(2, 1.0, 0.5).alias("R"), pick(3, 1.0, 0.6, 0.3).alias("I"),
+        pick(4, 1.0, 0.7, 0.4, 0.1).alias("U"), pick(5, 1.0, 0.2, 1.0, 1.0, 1.0).alias("N"), pick(3, 0.2, 0.4, 0.8).alias("E"), F.when(k % 6 == 0, F.concat(F.lit("us"), k)).alias("event_id"), (k % 4).alias("n_events"),
+    )
+
+
+PARTS = "WITH p AS (SELECT o_orderkey, ['economia', 'eventos_naturales', 'turismo'][1 + o_orderkey % 3] AS topic, ['1.0', '0.5'][1 + o_orderkey % 2] AS R, ['1.0', '0.6', '0.3'][1 + o_orderkey % 3] AS I, ['nacional', 'sectorial', 'local'][1 + o_orderkey % 3] AS level, ['1.0', '0.7', '0.4', '0.1'][1 + o_orderkey % 4] AS U, ['1.0', '0.2', '1.0', '1.0', '1.0'][1 + o_orderkey % 5] AS N, ['0.2', '0.4', '0.8'][1 + o_orderkey % 3] AS E, o_orderkey % 4 AS n_events FROM orders)"
+
+
+@query(PARTS + " SELECT o_orderkey, 'R=' || R || ' (tema=' || topic || ', medio_nacional=' || CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END || '); I=' || I || ' (alcance=' || level || '); U=' || U || ' (antigüedad vs fecha_ref); N=' || N || ' (repetición=' || CASE WHEN N = '0.2' THEN 'sí' ELSE 'no' END || '); E=' || E || ' (procedencias/fuente primaria; contexto oficial de nivel-tema no suma, ver contexto_oficial)' || CASE WHEN o_orderkey % 6 = 0 THEN '; vínculo USGS verificado (us' || o_orderkey || ') cuenta como fuente primaria' ELSE '' END AS motives FROM p")
+def motives_text(spark, sf):
+    return _parts(spark, sf).select("o_orderkey", display.motives(RULES, F.col("event_id")).alias("motives"))
+
+
+@query(PARTS + " SELECT o_orderkey, unnest(['R', 'I', 'U', 'N', 'E']) AS component, unnest([R, I, U, N, E])::DOUBLE AS value FROM p")
+def motive_parts(spark, sf):
+    return _parts(spark, sf).select("o_orderkey", F.inline(display.motive_parts(display.motives(RULES)))).select("o_orderkey", "component", "value")
+
+
+@query(PARTS + " SELECT o_orderkey, CASE WHEN topic = 'economia' THEN 'FP.CPI.TOTL, NY.GDP.MKTP' WHEN topic = 'eventos_naturales' AND n_events > 0 THEN n_events || ' evento(s) sísmico(s) USGS a 7 días o menos (contexto, sin relación establecida con la noticia)' ELSE '' END AS context FROM p")
+def official_context(spark, sf):
+    ids = F.array(*(F.lit(i) for i in ("NY.GDP.MKTP", "SP.POP.TOTL", "FP.CPI.TOTL", "NY.GDP.MKTP")))
+    return _parts(spark, sf).select("o_orderkey", display.official_context(F.col("topic"), ids, F.col("n_events"), config.Rules()).alias("context"))
+
+
+MARKDOWN = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+t AS (SELECT doc_id, CAST(pos AS INT) AS pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM l)
+SELECT doc_id, pos, CASE WHEN line IN ('---', '***') THEN 'divider' WHEN regexp_matches(line, '^#{1,3} ') THEN 'heading_' || length(regexp_extract(line, '^(#{1,3}) ', 1)) WHEN regexp_matches(line, '^[-*] ') THEN 'bulleted_list_item' WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN 'numbered_list_item' WHEN starts_with(line, '> ') THEN 'quote' ELSE 'paragraph' END AS kind,
+CASE WHEN line IN ('---', '***') THEN '' ELSE regexp_replace(line, '^(#{1,3}|[-*]|[0-9]+[.)]|>) ', '') END AS text FROM t WHERE line <> ''"""
+
+
+@query(MARKDOWN)
+def markdown_blocks(spark, sf):
+    return display.markdown_blocks(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "pos", "kind", "text")
+
+
+# --- stored drafts and review -----------------------------------------------------
+
+
+def _bodies(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'assistant' and text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    claim = lambda x: F.struct(x["text"].alias("texto"), F.concat(F.lit("E"), F.when(x["turn"] % 4 == 3, 99).otherwise(x["turn"])).alias("id_evidencia"))
+    cited = F.transform(F.filter("t", lambda x: x["turn"] % 4 != 3), lambda x: F.struct(F.concat(F.lit("E"), x["turn"]).alias("id_evidencia"), F.lit("texto").alias("campo")))
+    body = F.struct(F.col("conv_id").cast("string").alias("id_caso"), F.lit("nuevo").alias("estado_revision"), F.lit("respuesta").alias("tipo_respuesta"), cited.alias("citas"), F.transform("t", claim).alias("afirmaciones"))
+    return c.select("conv_id", F.when(F.col("conv_id") % 11 == 0, F.lit('{"id_caso": 7}')).otherwise(F.to_json(body)).alias("body"))
+
+
+CLAIM_COUNTS = "SELECT conv_id, count(*) AS n, count_if(turn % 4 <> 3) AS cited FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id"
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS id_case, CAST(n * (conv_id % 11 <> 0)::INT AS INT) AS n_claims, CAST(cited * (conv_id % 11 <> 0)::INT AS INT) AS n_citations, CASE WHEN conv_id % 2 = 0 THEN 'revisado' ELSE 'nuevo' END AS review_state, CASE WHEN conv_id % 2 = 0 THEN 'table' ELSE 'lines' END AS source FROM ({CLAIM_COUNTS}) WHERE (conv_id % 11 <> 0) OR (conv_id % 2 = 0)")
+def ficha_fetch(spark, sf):
+    bodies = _bodies(spark, sf)
+    some = F.col("conv_id") % 2 == 0
+    plain = F.when(F.col("conv_id") % 11 == 0, F.to_json(F.struct(F.lit("x").alias("borrador"))))
+    stored = bodies.where(some).select(F.col("conv_id").cast("string").alias("id_case"), F.lit("revisado").alias("review_state"), F.lit("respuesta").alias("response_type"), "body")
+    lines = bodies.select(F.col("conv_id").alias("line_no"), F.coalesce(plain, "body").alias("value"))
+    found = fichas.fetch(bodies.select(F.col("conv_id").cast("string").alias("id_case")), stored, lines)
+    n = lambda c: F.size(c).cast("int")
+    return found.select("id_case", n("claims").alias("n_claims"), n("citations").alias("n_citations"), "review_state", "source")
+
+
+@query()
+def ficha_resolve(spark, sf):
+    groups = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("group_id")).distinct()
+    k = F.col("group_id").cast("long")
+    none = F.array().cast("array<string>")
+    answers = groups.select("group_id", F.when(k % 5 != 1, "{}").alias("answer"), F.when(k % 5 == 1, "sin conexión").alias("error"), (k % 5 == 2).alias("obeyed"), (k % 5 != 3).alias("valid"), F.lit("respuesta").alias("declared"), F.when(k % 5 == 4, F.array(F.lit("a"), F.lit("b"))).otherwise(none).alias("versions"), none.alias("gaps"))
+    return fichas.resolve(groups, _packages(spark, sf), answers, grounding.validate_claims(_claims(spark, sf), _packages(spark, sf))).drop("citations")
+
+
+@query("WITH a AS (SELECT 0 AS r, conv_id, turn, text FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT 1, conv_id, turn, text FROM conversations WHERE conv_id % 3 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY turn, text ORDER BY r, conv_id, turn) AS n FROM a) SELECT conv_id AS group_id, 'E' || turn AS id_evidence, text, CASE WHEN r = 0 THEN 'ficha final' WHEN conv_id % 2 = 0 THEN 'borrador previo de ficha final' ELSE 'ficha generada en la app' END AS origin FROM k WHERE n = 1")
+def review_claims(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), F.concat(F.lit("E"), "turn").alias("id_evidence"), "text")
+    return review.claims(c.where("group_id % 2 = 0"), c.where("group_id % 3 = 0")).select("group_id", "id_evidence", "text", "origin")
+
+
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN 'cliente' WHEN o_custkey % 3 = 1 THEN 'serie' ELSE '' END AS outlet, CASE WHEN c_custkey IS NOT NULL THEN c_name WHEN o_custkey % 3 = 1 THEN 'S' || o_custkey ELSE '(noticia no encontrada)' END AS title FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey")
+def review_sources(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("id_evidence"))
+    people = table(spark, sf, "customer")
+    news_ = people.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id_evidence"), F.lit("cliente").alias("outlet"), F.col("c_name").alias("title"))
+    series = rows.select("id_evidence").distinct().where("id_evidence % 3 = 1").select("id_evidence", F.lit("serie").alias("outlet"), F.concat(F.lit("S"), "id_evidence").alias("title"))
+    return review.with_sources(rows, news_, series).select("o_orderkey", "outlet", "title")
+
+
+@query("SELECT count_if(c_custkey % 2 = 0) AS hits, count(*) AS n, count_if(c_custkey % 2 = 0) / 5.0 AS precision FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)")
+def precision_at_5(spark, sf):
+    people = table(spark, sf, "customer")
+    top = people.orderBy(F.desc("c_acctbal"), "c_custkey").limit(5).select("c_custkey", F.lit(1).alias("rank"))
+    marks = people.select("c_custkey", review.said_yes(F.when(F.col("c_custkey") % 2 == 0, F.lit(" Sí ")).otherwise("no")).alias("chosen"))
+    return evaluate.precision_at(marks, top, "c_custkey", 5)
+
+
+@query("WITH g AS (SELECT user_id AS group_id, count(*) AS n_items FROM events WHERE event_id % 50 = 0 GROUP BY user_id) SELECT * FROM (SELECT group_id, n_items, 'grandes' AS sample FROM g WHERE n_items >= 2 ORDER BY n_items DESC, group_id LIMIT 10) UNION ALL SELECT * FROM (SELECT group_id, n_items, 'singulares' AS sample FROM g WHERE n_items = 1 ORDER BY group_id LIMIT 5)")
+def group_samples(spark, sf):
+    return review.size_samples(table(spark, sf, "events").where("event_id % 50 = 0").groupBy(F.col("user_id").alias("group_id")).agg(F.count("*").alias("n_items")))
+
+
+def _made_search():
+    """A stand-in client: an item every ten minutes."""
+    return lambda query, first, last: [{"url": f"https://{query}.example.com/{i}"} for i in range(int((last - first).total_seconds() // 600))]
+
+
+@query("WITH w AS (SELECT 'n' || n_nationkey AS query, n_nationkey % 3 AS d FROM nation) SELECT query, CAST(count(*) AS INT) AS n_windows, CAST(sum(n) AS INT) AS n_items FROM (SELECT query, unnest(range(CASE d WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 2 END)) AS i, CASE d WHEN 0 THEN 6 WHEN 1 THEN 144 ELSE 216 END AS n FROM w) GROUP BY query")
+def window_capture(spark, sf):
+    first = F.lit("2024-01-01").cast("timestamp")
+    hours = F.element_at(F.array(F.lit(1), F.lit(24), F.lit(72)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    asked = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("query"), first.alias("first"), (first + F.make_dt_interval(hours=hours)).alias("last"))
+    return windows.capture(asked, _made_search).groupBy("query").agg(F.count("*").cast("int").alias("n_windows"), F.sum("n_items").cast("int").alias("n_items"))

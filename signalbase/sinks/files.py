@@ -41,3 +41,19 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def coverage(df: DataFrame, source: str, ts: str) -> DataFrame:
     """Rows and date range of each source."""
     return df.groupBy(source).agg(F.count("*").alias("n_rows"), F.min(F.col(ts).cast("date")).alias("first_day"), F.max(F.col(ts).cast("date")).alias("last_day"))
+
+
+def append_vectors(df: DataFrame, root: str, model: str) -> None:
+    """Add (id, text_hash, vector) rows to a model's cache."""
+    from ..sources.files import safe_model
+
+    df.select("id", "text_hash", "vector").write.mode("append").parquet(f"{root}/model={safe_model(model)}")
+
+
+def merge_jsonl(old: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(value): ``old`` lines (value) with ``rows`` (key, value) in place of those of their
+    ids; lines without an id, or no JSON, stay as they are."""
+    id_ = F.expr(f"try_variant_get(try_parse_json(value), '$.{key}', 'string')")
+    keyed = old.withColumn("_id", id_)
+    kept = keyed.join(rows.select(F.col(key).alias("_id")), "_id", "left_anti").select("value")
+    return kept.unionByName(rows.select("value"))

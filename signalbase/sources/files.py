@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,3 +86,18 @@ def read_labels(spark: SparkSession, path: str, key: str, label: str, domain: tu
     rows = read_csv(spark, path, *names).where(F.trim(F.coalesce(label, F.lit(""))) != "")
     known = F.trim(label).isin(*domain)
     return rows.withColumn(label, F.when(known, F.trim(label)).otherwise(F.raise_error(F.concat(F.lit("unknown label "), F.col(label)))))
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of a text file; line numbers order lines, without being dense."""
+    lines = spark.read.text(path)
+    return lines.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("line_no"), "value")
+
+
+def read_vectors(spark: SparkSession, root: str, model: str) -> DataFrame:
+    """(id, text_hash, vector) of a model's cache."""
+    return spark.read.schema("id string, text_hash string, vector array<float>").parquet(f"{root}/model={safe_model(model)}")
+
+
+def safe_model(model: str) -> str:
+    return re.sub(r"[^A-Za-z0-9_.-]+", "__", model)
