@@ -152,6 +152,30 @@ def test_ngram_join(docs, odd):
     assert ngram_join.join(docs.where("false")).count() == 0
 
 
+def test_ngram_join_over_many_leaves(spark, monkeypatch):
+    """Texts that share most of a long passage, in many sizes, and several leaves a key."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(400)]
+    rows = []
+    for i in range(140):
+        words = passage[: int(rng.integers(150, 400))] + [f"t{i}x{j}" for j in range(int(rng.integers(0, 90)))]
+        for at in rng.integers(0, len(words), int(rng.integers(0, 6))):
+            words[at] = f"e{i}y{at}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while any(least[i] != least[j] for i, j in links):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    numbered = []
+    whole = ngram_join._survivors
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "_survivors", lambda *a: numbered.append(1) or whole(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(least)) and numbered and len(set(least)) > 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 80), st.integers(0, 80), st.integers(0, 1 << 30))
 def test_linked_sets_share_a_key(common, a, b, seed):
