@@ -2,14 +2,20 @@
 
 Base patterns find assignments, access keys and hex strings. The method adds spans of
 kind ``random``: runs of 16 and more letters, digits and ``+/_=-`` with letters and
-digits that no base span overlaps. For each, the encoding is inferred as the smallest
-alphabet that holds it (hex, base32, base64) and tested:
+digits that no base span overlaps. Names, urls and paths run into the secrets behind
+them, so a run is cut at inner ``=``, and each part is a family of candidates: itself,
+if one alphabet holds it, and what lies between marks of either base64 alphabet or of
+both. For each, the encoding is inferred as the smallest alphabet that holds it (hex,
+base32, base64) and tested:
 
 * chi-squared uniformity over the alphabet's equal cells and serial correlation of
   neighbours; a run that a test rejects as uniform noise at ``REJECT`` is no secret;
 * runs: changes of character class along the string, which natural identifiers
   make seldom; the p-value is the binomial tail at ``CHANGE`` a step.
 
+Of a family, the strongest candidates that do not overlap stay, their p-values times
+the number of candidates (Bonferroni).
+
 P-values are controlled by Benjamini-Hochberg at ``FDR`` over all runs of the corpus,
 separately in strata of length, from a histogram of fixed size that Spark sums.
 
@@ -64,6 +70,12 @@ for _alphabet in ALPHABETS:
     _POSITION.append(_table)
 
 
+#: Parts of a run between inner "=", with padding; and finer cuts of one.
+_PART = re.compile(rb"[^=]+(?:={1,2}\Z)?")
+_FINER = tuple(map(re.compile, (rb"[^_-]+", rb"[^+/]+", rb"[^+/_-]+")))
+_DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
+
+
 def chi_squared_tail(x: float, k: int) -> float:
     """P(chi-squared with k degrees > x), by the Wilson-Hilferty cube root."""
     if x <= 0:
@@ -101,6 +113,35 @@ def battery(run: np.ndarray) -> tuple[float, float, float]:
     return uniform, serial, log10_binomial_tail(len(body) - 1, int((kind[1:] != kind[:-1]).sum()), CHANGE)
 
 
+def families(run: bytes) -> Iterator[list[tuple[int, int]]]:
+    """Of each part of a run, the candidates with letters and digits, longest first."""
+    for part in _PART.finditer(run):
+        spans = {m.span() for cut in _FINER for m in cut.finditer(run, *part.span())}
+        if not (any(x in part[0] for x in (b"+", b"/")) and any(x in part[0] for x in (b"-", b"_"))):
+            spans.add(part.span())
+        long = (s for s in spans if s[1] - s[0] >= MIN_RANDOM)
+        yield sorted((s for s in long if _DIGIT.search(run, *s) and _LETTER.search(run, *s)), key=lambda s: (s[0] - s[1], s[0]))
+
+
+def random_spans(run: np.ndarray, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, level) of the candidates that stay; ``taken`` are base spans."""
+    for family in families(run.tobytes()):
+        family = [(a, b) for a, b in family if not any(x < b and a < y for x, y in taken)]
+        less = 10 * math.log10(len(family)) if family else 0.0
+        found: list[tuple[int, int, int]] = []
+        for a, b in family:
+            if any(level == LEVELS and x <= a and b <= y for x, y, level in found):
+                continue  # nothing inside is stronger
+            uniform, serial, p = battery(run[a:b])
+            if uniform >= REJECT and serial >= REJECT:
+                found.append((a, b, max(0, min(LEVELS, int(-10 * p - less)))))
+        kept: list[tuple[int, int, int]] = []
+        for a, b, level in sorted(found, key=lambda f: (-f[2], f[0] - f[1], f[0])):
+            if not any(x < b and a < y for x, y, _ in kept):
+                kept.append((a, b, level))
+        yield from kept
+
+
 def base_spans(raw: bytes, hex_runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes of the base patterns."""
     found = [(a, 2, b) for a, b in hex_runs]
@@ -135,11 +176,10 @@ def scan_chunk(chunk: Chunk) -> Iterator[list[dict]]:
         rows = [(a, k, b, -1, 0) for a, k, b in spans]
         for a, b in runs.get(i, []):
             run = data[chunk.offsets[i] + a : chunk.offsets[i] + b]
-            if not DIGIT[run].any() or not (UPPER[run] | LOWER[run]).any() or any(x < b and a < y for x, _, y in spans):
+            if not DIGIT[run].any() or not (UPPER[run] | LOWER[run]).any():
                 continue
-            uniform, serial, p = battery(run)
-            if uniform >= REJECT and serial >= REJECT:
-                rows.append((a, 3, b, sum(b - a >= s for s in STRATA) - 1, min(LEVELS, int(-10 * p))))
+            taken = [(x - a, y - a) for x, _, y in spans if x < b and a < y]
+            rows += [(a + x, 3, a + y, sum(y - x >= s for s in STRATA) - 1, level) for x, y, level in random_spans(run, taken)]
         if not rows:
             yield []
             continue

@@ -230,6 +230,20 @@ def test_secret_scan(docs, odd, spark):
     assert secret_scan.scan(docs.where("false")).count() == 0
 
 
+def test_secret_scan_finds_secrets_joined_to_names_and_paths(spark):
+    rng = np.random.default_rng(5)
+    plain, marked = (list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + x) for x in ("", "+/"))
+    forms = [("AWS_SECRET_ACCESS_KEY=", marked, ""), ("client_key=", marked, "="), ("a=b&SIG=", plain, ""), ("https://x.com/api-v1/", plain, ""), ("/api-v1/reset_link/", plain, "")]
+    made = [(head, "".join(rng.choice(letters, 40)) + tail) for head, letters, tail in forms for _ in range(8)]
+    df = spark.createDataFrame([(i, f"antes {head}{secret} fin") for i, (head, secret) in enumerate(made)], "doc_id long, text string")
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    for form in range(len(forms)):
+        assert sum(made[i][1] not in red[i] and "[SECRET]" in red[i] for i in range(8 * form, 8 * form + 8)) >= 7, forms[form][0]
+    assert sum(red[i] == "antes AWS_SECRET_ACCESS_KEY=[SECRET] fin" for i in range(8)) >= 6
+    names = spark.createDataFrame([(0, "/static-v2/articulo_numero_uno_de_2024/el_canal=ver-todo/2024")], "doc_id long, text string")
+    assert secret_scan.redact(names).first()["text"] == "/static-v2/articulo_numero_uno_de_2024/el_canal=ver-todo/2024"
+
+
 def test_packing(docs, odd):
     for rows in (docs, odd):
         got = packing.pack(rows).collect()
