@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 with block-max WAND over test items.
 
-Test items (lower-cased alphanumeric words; long ones in segments) are indexed with
-BM25 impacts, each divided by the item's score against itself, so one threshold
-``TAU`` means the same for every item. Postings are in blocks of ``BLOCK_ITEMS`` items
+Test items (lower-cased alphanumeric words; long ones in even segments) are indexed
+with BM25 impacts, each divided by the item's score against itself, so one threshold
+``TAU`` means the same for every item. Segments only retrieve: what is verified is the
+whole item. Postings are in blocks of ``BLOCK_ITEMS`` items
 with the block's largest impact of each term.
 
 Every passage of every document is a query: windows of twice the longest segment
@@ -16,7 +17,9 @@ done for a chunk of texts at once:
 
 A retrieved item counts as leaked if its question and its answer (the part after the
 last question mark, or else the last third) both overlap the passage: ``OVERLAP`` of
-their word trigrams at least.
+their word trigrams at least. For an item in segments the passage is widened by the
+item's words on either side, so that it holds the whole copy; its score is that of its
+best segment.
 
 The index is broadcast in shards of bounded items and characters; a larger benchmark
 takes more scans.
@@ -75,18 +78,20 @@ class Index:
     """Normalised BM25 impacts of one shard of items, and what verifies them."""
 
     def __init__(self, items: list[tuple[int, str]], tau: float = TAU, slack: float = SLACK):
-        self.ids, self.parts, tokens = [], [], []
+        self.ids, self.parts, self.reach, owner, tokens = [], [], [], [], []
         for item, text in items:
             words = words_of(text or "")
             question = words_of(text[: text.rfind("?") + 1]) if text and "?" in text else words
             cut = len(question) if 0 < len(question) < len(words) else -(-2 * len(words) // 3)
-            for s in range(0, len(words), SEGMENT):
-                segment = [hash_bytes(w) for w in words[s : s + SEGMENT]]
-                at = min(max(cut - s, 0), len(segment))
-                sides = [trigrams(np.array(x, np.uint64)) for x in (segment[:at], segment[at:])]
-                self.ids.append(item)
-                self.parts.append(sides)
-                tokens.append(segment)
+            hashes = [hash_bytes(w) for w in words]
+            pieces = -(-len(words) // SEGMENT)
+            self.ids.append(item)
+            self.parts.append([trigrams(np.array(x, np.uint64)) for x in (hashes[:cut], hashes[cut:])])
+            self.reach.append(len(words) if pieces > 1 else 0)
+            for i in range(pieces):  # of even length: a short rest would occur everywhere
+                owner.append(len(self.ids) - 1)
+                tokens.append(hashes[len(words) * i // pieces : len(words) * (i + 1) // pieces])
+        self.owner = np.array(owner, np.int64)
         self.longest = max(map(len, tokens), default=0)
         df = Counter(t for x in tokens for t in set(x))
         mean = sum(map(len, tokens)) / max(len(tokens), 1)
@@ -122,7 +127,7 @@ class Index:
     def _essential(self, n: int, slack: float) -> np.ndarray:
         """Terms left after the most frequent are set aside, as long as these give no
         item more than ``slack`` together."""
-        essential, given = np.ones(n, bool), np.zeros(len(self.ids))
+        essential, given = np.ones(n, bool), np.zeros(len(self.owner))
         for t in np.argsort(self.pointer[:-1] - self.pointer[1:], kind="stable"):
             a, b = self.pointer[t], self.pointer[t + 1]
             after = given[self.item[a:b]] + self.impact[a:b]
@@ -143,7 +148,7 @@ class Index:
         return out
 
     def retrieve(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items from TAU on for a passage's distinct terms, block maxima first."""
+        """Items (segments of long ones) from TAU on for a passage's distinct terms, block maxima first."""
         a, b = self.block_pointer[terms], self.block_pointer[terms + 1]
         at = _ranges(a, b)
         bound = np.bincount(self.block[at], self.block_best[at], self.blocks)
@@ -152,7 +157,7 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0)
         at = _ranges(self.pointer[terms], self.pointer[terms + 1])
         at = at[live[self.item[at] // BLOCK_ITEMS]]
-        score = np.bincount(self.item[at], self.impact[at], len(self.ids))
+        score = np.bincount(self.item[at], self.impact[at], len(self.owner))
         found = np.flatnonzero(score >= self.tau)
         return found, score[found]
 
@@ -189,14 +194,21 @@ def leaks_in(chunk: Chunk, index: Index) -> Iterator[tuple[int, int, float, floa
         items, scores = index.retrieve(inside)
         if not len(items):
             continue
-        grams = [trigrams(hashes[a:b])] if b - a >= NGRAM else []
-        for i, score in zip(items.tolist(), scores.tolist()):
+        whole: dict[int, float] = {}
+        for i, score in zip(index.owner[items].tolist(), scores.tolist()):
+            whole[i] = max(whole.get(i, 0.0), score)
+        grams: dict[int, np.ndarray] = {}
+        for i, score in whole.items():
+            reach = index.reach[i]
+            passage = hashes[max(a - reach, pointer[doc[w]]) : min(b + reach, pointer[doc[w] + 1])]
+            if reach not in grams:
+                grams[reach] = trigrams(passage)
             shares = []
             for side in index.parts[i]:
-                if len(side) == 1 and grams:  # a side of one to three words
-                    have = _short(hashes[a:b], side)
+                if len(side) == 1 and len(passage) >= NGRAM:  # a side of one to three words
+                    have = _short(passage, side)
                 else:
-                    have = np.isin(side, grams[0] if grams else trigrams(hashes[a:b])).mean() if len(side) else 1.0
+                    have = np.isin(side, grams[reach]).mean() if len(side) else 1.0
                 shares.append(float(have))
             if min(shares) >= OVERLAP:
                 key = (int(doc[w]) + chunk.lo, index.ids[i])

@@ -112,6 +112,21 @@ def test_decontamination(docs, spark, odd):
     assert decontamination.leaks(docs, nothing).count() == 0
 
 
+def test_decontamination_verifies_long_items_whole(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: [f"z{x}" for x in rng.integers(0, 10**6, n)]
+    items = {1: [*some(299), "fin?", *some(100)], 2: [*some(128), "the"], 3: some(700)}
+    benchmark = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    clean = [["the", *some(50)], some(900), ["the"], items[1][:128], items[1][100:300], items[1][:300], items[1][300:], items[3][128:256], items[3][:400]]
+    leaked = [(k, [*some(at), *v, *some(at)]) for k, v in items.items() for at in (0, 77, 400)]
+    texts = [" ".join(x) for x in clean] + [" ".join(x) for _, x in leaked]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    indexes = decontamination.build(benchmark)
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, indexes).collect()}
+    assert found == {(len(clean) + i, k) for i, (k, _) in enumerate(leaked)}
+    assert {r["doc_id"] for r in decontamination.drop_leaks(docs, indexes).collect()} == set(range(len(clean)))
+
+
 def test_block_max_retrieval_equals_scoring_all():
     rng = np.random.default_rng(1)
     words = [f"v{i}" for i in range(200)]
