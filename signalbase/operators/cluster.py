@@ -68,23 +68,66 @@ def average_link(similarity: np.ndarray, least: float) -> list[list[int]]:
     return [sorted(c) for c in clusters]
 
 
-MAX_COMPONENT = 4000
+DENSE = 256
+CELLS = 1 << 22
+
+
+def average_link_vectors(x: np.ndarray, least: float) -> list[list[int]]:
+    """``average_link`` of ``x @ x.T`` without that matrix.
+
+    The summed similarity of two clusters is the product of their summed vectors, so
+    memory grows with the rows. Each cluster remembers its best later partner; a merge
+    is no nearer to a third cluster than the nearer of its two, so only those whose
+    partner merged look again, and values only rise by rounding.
+    """
+    n = len(x)
+    total, size, alive = x.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    members: list[list[int]] = [[i] for i in range(n)]
+    best, partner = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+    def look(rows: np.ndarray) -> None:
+        step = max(1, CELLS // n)
+        for s in range(0, len(rows), step):
+            at = rows[s : s + step]
+            low = int(at[0]) + 1
+            best[at] = -np.inf
+            if low < n:
+                mean = total[at] @ total[low:].T / np.outer(size[at], size[low:])
+                mean[~alive[low:][None, :] | (np.arange(low, n)[None, :] <= at[:, None])] = -np.inf
+                partner[at] = low + mean.argmax(1)
+                best[at] = mean.max(1)
+
+    look(np.arange(n))
+    while n > 1:
+        i = int(best.argmax())
+        if not best[i] >= least - 1e-12:
+            break
+        j = int(partner[i])
+        members[i] += members[j]
+        total[i] += total[j]
+        size[i] += size[j]
+        alive[j], best[j] = False, -np.inf
+        stale = alive & ((partner == i) | (partner == j)) & (best > -np.inf)
+        stale[i] = True
+        early = np.flatnonzero(alive[:i] & ~stale[:i])
+        mean = total[early] @ total[i] / (size[early] * size[i])
+        rise = (mean > best[early]) | ((mean == best[early]) & (i < partner[early]))
+        best[early[rise]], partner[early[rise]] = mean[rise], i
+        look(np.flatnonzero(stale))
+    return [sorted(c) for c, a in zip(members, alive) if a]
 
 
 def split_components(members: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """(key, component, cluster) by average linkage inside each component.
+    """(key, component, cluster) by average linkage inside each component, of any size.
 
-    A component is what one day-window of headlines chains together, tens of rows by
-    design; one beyond ``MAX_COMPONENT`` raises rather than being cut silently.
+    Components beyond ``DENSE`` members go by summed vectors instead of a matrix.
     """
 
     def split(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
         frame = groups.sort_values(key, ignore_index=True)
-        if len(frame) > MAX_COMPONENT:
-            raise ValueError(f"a component has {len(frame)} members; lower the window or raise the threshold")
         x = np.array(frame[vector].tolist(), float)
         name = np.empty(len(frame), object)
-        for cluster in average_link(x @ x.T, least):
+        for cluster in average_link(x @ x.T, least) if len(x) <= DENSE else average_link_vectors(x, least):
             name[cluster] = frame[key].iloc[cluster].min()
         return pd.DataFrame({key: frame[key], "component": frame["component"], "cluster": name})
 

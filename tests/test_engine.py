@@ -103,6 +103,23 @@ def test_average_link_does_not_chain():
     assert cluster.average_link(s, 0.5) == [[0], [1, 2]]
 
 
+def test_average_link_of_large_components(spark):
+    rng = np.random.default_rng(0)
+
+    def unit(n, kinds):
+        x = rng.normal(size=(kinds, 16))[rng.integers(0, kinds, n)] + rng.normal(0, 0.4, (n, 16))
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    for least in (0.1, 0.35, 0.8):
+        x = unit(300, 20)
+        assert cluster.average_link_vectors(x, least) == cluster.average_link(x @ x.T, least)
+    kind = np.arange(4500) % 3
+    x = np.eye(3)[kind]
+    rows = spark.createDataFrame([(i, 0, v) for i, v in enumerate(x.tolist())], "k long, component long, vector array<double>")
+    got = cluster.split_components(rows, "k", "vector", 0.35).toPandas()
+    assert len(got) == 4500 and (got["cluster"] == got["k"] % 3).all()
+
+
 def test_span_cap(spark):
     df = spark.range(10).select(F.lit("g").alias("g"), F.col("id").alias("k"), F.col("id").cast("double").alias("d"))
     parts = [r["n"] for r in cluster.cap_span(df, "g", "k", F.col("d"), 3.0).groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]
