@@ -167,6 +167,16 @@ def test_ngram_join(docs, odd):
     assert ngram_join.join(docs.where("false")).count() == 0
 
 
+def test_keep_first_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a + " fin"), (None, b), (None, b), (None, "uno"), (5, a), (7, c), (7, d), (7, d + " fin"), (9, c), (3, "dos"), (3, "tres"), (3, "tres"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_first(docs).collect()), key=str)
+    fixed = [(None, b), (None, "uno"), (5, a), (7, c), (3, "dos"), (3, "tres"), (4, None)]
+    assert set(fixed) <= set(kept) and len(kept) == 8
+    assert (set(kept) - set(fixed)) <= {(7, d), (7, d + " fin")}
+
+
 def test_ngram_join_over_many_leaves(spark, monkeypatch):
     """Texts that share most of a long passage, in many sizes, and several leaves a key."""
     rng = np.random.default_rng(5)
