@@ -209,7 +209,18 @@ def test_linked_sets_share_a_key(common, a, b, seed):
     x, y = np.sort(draw[: common + a]), np.sort(np.concatenate((draw[:common], draw[common + a :])))
     if ngram_join.linked(common, len(x), len(y)):
         assert set(ngram_join.routing_keys(x).tolist()) & set(ngram_join.routing_keys(y).tolist())
-        assert 9 * ngram_join.overlap_bound(ngram_join.point_of(x), ngram_join.point_of(y)) >= 4 * (len(x) + len(y))
+        assert 9 * ngram_join.overlap_bounds(ngram_join.point_of(x)[None], ngram_join.point_of(y)[None])[0] >= 4 * (len(x) + len(y))
+
+
+def test_ngram_join_tells_sets_of_one_print_apart(spark, monkeypatch):
+    """All sets get one of three first prints; their second prints keep classes apart."""
+    whole = ngram_join.prints_of
+    monkeypatch.setattr(ngram_join, "prints_of", lambda s: (whole(s)[1] % 3, whole(s)[1]))
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcdefgh"]
+    texts += [t + " fin" for t in texts[:4]] + texts[2:6] + ["uno", ""]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 8 or i > 15 else i - 8 if i < 12 else i - 10 for i in range(len(texts))}
 
 
 def test_rtree_search_is_complete():
