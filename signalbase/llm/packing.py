@@ -7,9 +7,13 @@ of piece lengths (at most ``capacity`` entries on the driver, whatever the corpu
 * configuration LP: minimise the number of sequences, covering each length's count
   by configurations (multisets of lengths that fit a sequence);
 * it is solved by multiplicative weights; the pricing problem, the configuration of
-  the largest total price, is an unbounded knapsack by dynamic programming;
+  the largest total price, is an unbounded knapsack by dynamic programming, of which a
+  round takes several columns; rounds go on until every length is covered whole;
+* every round's prices are a solution of the dual, which bounds the optimum from below,
+  as dual-feasible functions of the lengths do;
 * the fractional solution is rounded down to counts that the histogram has left,
-  and the rest is packed best-fit decreasing, on groups of equal sequences.
+  and the rest is packed best-fit decreasing, on groups of equal sequences. Best-fit of
+  everything is among the roundings, so the plan never needs more sequences than it.
 
 Spark then numbers the pieces within each length and looks their place up in the plan.
 
@@ -34,10 +38,11 @@ from ._text import chunks
 
 CAPACITY = 2048
 SEPARATOR = 0
-ROUNDS = 1200
-RATE = 0.5
+COLUMNS, NEAR = 64, 0.98
+STEP, RATE, POWER = 0.25, 0.05, 1.1
+BOUNDS = 50
 GROUP_ROWS = 512
-SHARES = (1.0, 0.9, 0.75, 0.5)
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
 
 Config = tuple[tuple[tuple[int, int], ...], int]
 
@@ -48,8 +53,9 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def price_out(prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the largest price: knapsack by dynamic programming.
+def price_out(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the largest price of a configuration for each
+    room up to ``capacity``, and the length put last into it (0: none).
 
     prices[length] is the worth of a piece; best[c] is found for rising c at once
     over all last pieces.
@@ -63,50 +69,68 @@ def price_out(prices: np.ndarray, capacity: int) -> dict[int, int]:
             best[c], last[c] = worth[i], i + 1
         else:
             best[c] = best[c - 1]
-    found: dict[int, int] = {}
-    c = capacity
+    return best, last
+
+
+def configuration(last: np.ndarray, head: int, capacity: int) -> dict[int, int]:
+    """The best configuration that holds a piece of length ``head``."""
+    found = {head: 1}
+    c = capacity - head
     while c > 0:
-        if last[c]:
-            found[int(last[c])] = found.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
+        n = int(last[c])
+        if n:
+            found[n] = found.get(n, 0) + 1
+        c -= n or 1
     return found
 
 
-def solve_lp(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional uses that cover ``counts`` (by length).
+def solve_lp(counts: np.ndarray, capacity: int = CAPACITY, step: float = STEP, rate: float = RATE, power: float = POWER) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations with fractional uses that cover ``counts`` (by length) exactly,
+    and a lower bound of the LP's optimum.
 
-    Multiplicative weights: the weight of a length falls as it gets covered; each
-    round prices length l at weight / count, takes the best configuration and uses it
-    as far as its scarcest length allows, times ``rate``.
+    Multiplicative weights: the weight of a length, its price while it has pieces left,
+    is (length / capacity) ** ``power`` at first and falls by a factor exp(-``rate`` * share
+    covered). Each round prices configurations by one knapsack and takes, for the longest
+    lengths whose best configuration is worth ``NEAR`` of the best, that configuration,
+    ``COLUMNS`` at most; each is used as far as its lengths have pieces left, but not
+    beyond ``step`` of the count of its scarcest length (or one use). Every use exhausts a
+    length or takes ``step`` of one, so rounds end.
     """
     lengths = np.flatnonzero(counts)
     if not len(lengths):
-        return []
-    covered, weight = np.zeros(len(counts)), np.zeros(len(counts))
-    weight[lengths] = lengths
+        return [], 0.0
+    left, weight = counts.astype(float), np.zeros(len(counts))
+    weight[lengths] = (lengths / capacity) ** power
     uses: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        open_ = lengths[covered[lengths] < 1 - 1e-9]
+    sizes = np.arange(len(counts))
+    bound = float((counts * sizes).sum()) / capacity
+    for k in range(1, BOUNDS + 1):  # dual-feasible functions of Fekete and Schepers
+        parts, rest = np.divmod((k + 1) * sizes, capacity)
+        bound = max(bound, float((counts * np.where(rest == 0, sizes / capacity, parts / k)).sum()))
+    while True:
+        open_ = lengths[left[lengths] > 0]
         if not len(open_):
-            break
+            return [(dict(k), v) for k, v in uses.items()], bound
         prices = np.zeros(capacity + 1)
-        # proportional to length at first, so that full sequences are worth most
-        prices[open_] = open_ * (weight[open_] / open_) ** rate
-        config = price_out(prices, capacity)
-        if not config:
-            break
-        step = rate * min(counts[n] / k for n, k in config.items())
-        step = max(step, 1e-9)
-        key = tuple(sorted(config.items(), reverse=True))
-        left = min((1 - covered[n]) * counts[n] / k for n, k in config.items())
-        step = left if left <= 1 else min(max(step, 1.0), left)
-        uses[key] = uses.get(key, 0.0) + step
-        for n, k in config.items():
-            covered[n] += step * k / counts[n]
-            weight[n] *= np.exp(-rate * step * k / counts[n])
-    return [(dict(k), v) for k, v in uses.items()]
+        prices[open_] = weight[open_]
+        best, last = price_out(prices, capacity)
+        bound = max(bound, float((prices * counts).sum()) / best[capacity])
+        worth = prices[open_] + best[capacity - open_]
+        gain = np.zeros(len(counts))
+        for head in open_[worth >= NEAR * worth.max()][::-1][:COLUMNS].tolist():
+            config = configuration(last, head, capacity)
+            room = min(left[n] / k for n, k in config.items())
+            if room <= 0:
+                continue
+            use = min(room, max(1.0, step * min(counts[n] / k for n, k in config.items())))
+            key = tuple(sorted(config.items(), reverse=True))
+            uses[key] = uses.get(key, 0.0) + use
+            for n, k in config.items():
+                left[n] -= use * k
+                if left[n] < 1e-9 * counts[n]:
+                    left[n] = 0.0
+                gain[n] += use * k / counts[n]
+        weight *= np.exp(-rate * gain)
 
 
 def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[Config]:
@@ -175,12 +199,12 @@ def make_plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[Config]:
     """Configurations with whole uses that hold every piece exactly once.
 
     Of several shares at which the fractional solution is rounded, the one that needs
-    the fewest sequences.
+    the fewest sequences; a share of nothing is best-fit alone.
     """
     left = counts.astype(np.int64).copy()
     whole = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    fractional = sorted(solve_lp(left, capacity), key=lambda x: -x[1])
+    fractional = sorted(solve_lp(left, capacity)[0], key=lambda x: -x[1])
     return whole + min((round_down(fractional, left, share, capacity) for share in SHARES), key=lambda plan: sum(times for _, times in plan))
 
 

@@ -307,9 +307,76 @@ def test_pricing_is_an_exact_knapsack():
         best = [0.0] * 13
         for c in range(1, 13):
             best[c] = max([best[c - 1]] + [prices[n] + best[c - n] for n in range(1, c + 1)])
-        found = packing.price_out(prices, 12)
-        assert sum(n * k for n, k in found.items()) <= 12
-        assert sum(prices[n] * k for n, k in found.items()) == pytest.approx(best[12])
+        worth, last = packing.price_out(prices, 12)
+        assert worth == pytest.approx(best)
+        for head in range(1, 13):
+            found = packing.configuration(last, head, 12)
+            assert sum(n * k for n, k in found.items()) <= 12 and found[head]
+            assert sum(prices[n] * k for n, k in found.items()) == pytest.approx(prices[head] + best[12 - head])
+
+
+def _histograms():
+    rng = np.random.default_rng(9)
+    for kind in range(4):
+        counts = np.zeros(packing.CAPACITY + 1, np.int64)
+        if kind == 0:  # nearly all lengths
+            counts[rng.choice(np.arange(1, packing.CAPACITY), 2004, replace=False)] = rng.integers(0, 50, 2004)
+        elif kind == 1:  # few pieces of most lengths
+            np.add.at(counts, np.exp(rng.normal(6, 0.8, 900)).astype(int) % packing.CAPACITY + 1, 1)
+        elif kind == 2:  # millions
+            np.add.at(counts, np.exp(rng.normal(6, 1, 300_000)).astype(int) % packing.CAPACITY + 1, 10)
+        else:  # around a third and a half of a sequence
+            np.add.at(counts, rng.integers(660, 1100, 400), rng.integers(1, 99, 400))
+        counts[packing.CAPACITY] = 0
+        yield counts
+
+
+def test_the_linear_program_covers_every_length():
+    sizes = np.arange(packing.CAPACITY + 1)
+    for counts in _histograms():
+        uses, bound = packing.solve_lp(counts)
+        covered = np.zeros(len(counts))
+        for config, use in uses:
+            assert use > 0 and sum(n * k for n, k in config.items()) <= packing.CAPACITY
+            for n, k in config.items():
+                covered[n] += use * k
+        assert np.allclose(covered, counts)
+        plan = packing.make_plan(counts)
+        packed = np.zeros(len(counts), np.int64)
+        for config, times in plan:
+            assert sum(n * k for n, k in config) <= packing.CAPACITY
+            for n, k in config:
+                packed[n] += k * times
+        assert (packed == counts).all()
+        n = sum(times for _, times in plan)
+        assert np.ceil((counts * sizes).sum() / packing.CAPACITY) <= np.ceil(bound - 1e-6) <= n
+        assert n <= sum(times for _, times in packing.best_fit(counts)) and n <= 1.06 * bound
+    assert packing.solve_lp(np.zeros(packing.CAPACITY + 1, np.int64)) == ([], 0.0)
+
+
+def test_plans_against_the_optimum():
+    """Exhaustive search over small histograms of a capacity of 12."""
+    rng = np.random.default_rng(3)
+
+    def optimum(pieces, rooms):
+        if not pieces:
+            return len(rooms)
+        best, tried = len(rooms) + len(pieces), set()
+        for i, room in enumerate(rooms):
+            if room >= pieces[0] and room not in tried:
+                tried.add(room)
+                best = min(best, optimum(pieces[1:], rooms[:i] + [room - pieces[0]] + rooms[i + 1 :]))
+        return min(best, optimum(pieces[1:], [*rooms, 12 - pieces[0]])) if len(rooms) < best else best
+
+    over = 0
+    for _ in range(25):
+        pieces = sorted(rng.integers(1, 12, 8).tolist(), reverse=True)
+        counts = np.bincount(pieces, minlength=13)
+        least = optimum(pieces, [])
+        n = sum(times for _, times in packing.make_plan(counts, 12))
+        assert packing.solve_lp(counts, 12)[1] <= least + 1e-9 and least <= n <= least + 1
+        over += n - least
+    assert over <= 2
 
 
 @settings(max_examples=200, deadline=None)
