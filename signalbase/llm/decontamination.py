@@ -21,11 +21,17 @@ their word trigrams at least. For an item in segments the passage is widened by
 item's words on either side, so that it holds the whole copy; its score is that of its
 best segment.
 
-The index is broadcast in shards of bounded items and characters; a larger benchmark
-takes more scans.
+The index is broadcast in shards of bounded items and characters, built one at a time
+as scans need them; a larger benchmark takes more scans. Document frequencies, the
+number of segments and their mean length are counted over all items by Spark, so a score
+doesn't depend on how items are dealt to shards.
 
 Defined cases: null and empty texts and items match nothing; repeated documents are
-judged each, repeated items retrieved each; further columns are ignored.
+judged each; repeated items, and rows of one id with different texts, are judged each and
+give one row per document and id, the best; items without an id are items of their own
+each; equal scores are no conflict, since every
+item from the threshold on is retrieved; items of any length are judged whole; further
+columns are ignored; an empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +39,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import Scratch
 from ._text import Chunk, chunks, hash_bytes, hash_runs, mix64
 
 K1, B = 1.2, 0.75
@@ -74,29 +82,51 @@ def trigrams(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def segments(hashes: list[int]) -> list[list[int]]:
+    """Even cuts of at most ``SEGMENT`` words: a short rest would occur everywhere."""
+    pieces = -(-len(hashes) // SEGMENT)
+    return [hashes[len(hashes) * i // pieces : len(hashes) * (i + 1) // pieces] for i in range(pieces)]
+
+
+class Statistics(NamedTuple):
+    """What BM25 knows of all items: segments, their mean length, and how many hold a term."""
+
+    n: int
+    mean: float
+    holding: dict[int, int]
+
+    @classmethod
+    def of(cls, tokens: list[list[int]]) -> Statistics:
+        return cls(len(tokens), sum(map(len, tokens)) / max(len(tokens), 1), Counter(t for x in tokens for t in set(x)))
+
+
 class Index:
-    """Normalised BM25 impacts of one shard of items, and what verifies them."""
+    """Normalised BM25 impacts of one shard of items, and what verifies them.
+
+    ``statistics`` are those of all items where the shard isn't all of them.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], tau: float = TAU, slack: float = SLACK):
+    def __init__(self, items: list[tuple[int, str]], tau: float = TAU, slack: float = SLACK, statistics: Statistics | None = None):
         self.ids, self.parts, self.reach, owner, tokens = [], [], [], [], []
         for item, text in items:
             words = words_of(text or "")
             question = words_of(text[: text.rfind("?") + 1]) if text and "?" in text else words
             cut = len(question) if 0 < len(question) < len(words) else -(-2 * len(words) // 3)
             hashes = [hash_bytes(w) for w in words]
-            pieces = -(-len(words) // SEGMENT)
+            pieces = segments(hashes)
             self.ids.append(item)
             self.parts.append([trigrams(np.array(x, np.uint64)) for x in (hashes[:cut], hashes[cut:])])
-            self.reach.append(len(words) if pieces > 1 else 0)
-            for i in range(pieces):  # of even length: a short rest would occur everywhere
-                owner.append(len(self.ids) - 1)
-                tokens.append(hashes[len(words) * i // pieces : len(words) * (i + 1) // pieces])
+            self.reach.append(len(words) if len(pieces) > 1 else 0)
+            owner += [len(self.ids) - 1] * len(pieces)
+            tokens += pieces
         self.owner = np.array(owner, np.int64)
+        first: dict[int, int] = {}
+        self.same = [i if x is None else first.setdefault(x, i) for i, x in enumerate(self.ids)]
         self.longest = max(map(len, tokens), default=0)
-        df = Counter(t for x in tokens for t in set(x))
-        mean = sum(map(len, tokens)) / max(len(tokens), 1)
-        idf = {t: math.log1p((len(tokens) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        self.vocabulary = np.array(sorted(df), np.uint64)
+        all_, mean, df = statistics or Statistics.of(tokens)
+        used = {t for x in tokens for t in x}
+        idf = {t: math.log1p((all_ - df[t] + 0.5) / (df[t] + 0.5)) for t in used}
+        self.vocabulary = np.array(sorted(used), np.uint64)
         place = {t: i for i, t in enumerate(self.vocabulary.tolist())}
         rows = []
         for i, x in enumerate(tokens):
@@ -184,7 +214,7 @@ def leaks_in(chunk: Chunk, index: Index) -> Iterator[tuple[int, int, float, floa
     first = pointer[doc] + stride * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
     last = np.minimum(first + width, pointer[doc + 1])
     hot = np.flatnonzero(total[last] - total[first] >= index.need - 1e-9)
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}  # by row of an id's first item
     for w in hot.tolist():
         a, b = first[w], last[w]
         inside = terms[a:b]
@@ -211,10 +241,10 @@ def leaks_in(chunk: Chunk, index: Index) -> Iterator[tuple[int, int, float, floa
                     have = np.isin(side, grams[reach]).mean() if len(side) else 1.0
                 shares.append(float(have))
             if min(shares) >= OVERLAP:
-                key = (int(doc[w]) + chunk.lo, index.ids[i])
+                key = (int(doc[w]) + chunk.lo, index.same[i])
                 best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
     for (d, item), got in sorted(best.items()):
-        yield d, item, *got
+        yield d, index.ids[item], *got
 
 
 def _short(hashes: np.ndarray, side: np.ndarray) -> float:
@@ -229,16 +259,59 @@ def _short(hashes: np.ndarray, side: np.ndarray) -> float:
     return 0.0
 
 
-def build(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
+class Shards:
+    """Indexes of bounded shards of the benchmark; iterating builds one after the other."""
+
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str):
+        rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        self.count = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_CHARS))
+        self.rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(self.count)))
+        if self.count > 1:
+            scratch = Scratch(benchmark.sparkSession, "decontamination")
+            terms = self.rows.mapInArrow(_terms, "shard long, term long, holding long, words long")
+            by = terms.groupBy("shard", "term").agg(F.sum("holding").alias("holding"), F.sum("words").alias("words"))
+            by = scratch.save(by, "terms")
+            whole = by.where("term is null").agg(F.sum("holding"), F.sum("words")).first()
+            self.n, self.mean = whole[0], whole[1] / max(whole[0], 1)
+            total = by.where("term is not null").groupBy("term").agg(F.sum("holding").alias("holding"))
+            self.terms = scratch.save(by.select("shard", "term").join(total, "term"), "statistics")
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[Index]:
+        for k in range(self.count):
+            items = sorted((r["id"] is None, r["id"] or 0, r["id"], r["text"]) for r in self.rows.where(F.col("shard") == k).collect())
+            statistics = None
+            if self.count > 1:
+                found = self.terms.where(F.col("shard") == k).toArrow()
+                term, holding = np.asarray(found["term"]).view(np.uint64).tolist(), np.asarray(found["holding"]).tolist()
+                statistics = Statistics(self.n, self.mean, dict(zip(term, holding)))
+            yield Index([(item, text) for _, _, item, text in items], statistics=statistics)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By shard, the segments that hold each term; without term, all segments and words."""
+    for batch in batches:
+        found: Counter[tuple[int, int | None]] = Counter()
+        words: Counter[int] = Counter()
+        for text, shard in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for piece in segments([hash_bytes(w) for w in words_of(text)]):
+                found[shard, None] += 1
+                words[shard] += len(piece)
+                found.update((shard, t - (1 << 64) if t >> 63 else t) for t in set(piece))
+        keys = list(found)
+        columns = [pa.array([s for s, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array([words[s] if t is None else 0 for s, t in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "term", "holding", "words"])
+
+
+def build(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Shards:
     """Indexes of bounded shards of the benchmark."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_CHARS))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(shards))
-    return [Index(sorted((r["id"], r["text"]) for r in rows.where(part == k).collect())) for k in range(shards)]
+    return Shards(benchmark, id_col, text_col)
 
 
-def leaks(docs: DataFrame, indexes: list[Index], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, indexes: Iterable[Index], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of every leak."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -258,7 +331,7 @@ def leaks(docs: DataFrame, indexes: list[Index], id_col: str = "doc_id", text_co
     return reduce(DataFrame.union, map(scan, indexes))
 
 
-def drop_leaks(docs: DataFrame, indexes: list[Index], text_col: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, indexes: Iterable[Index], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no item leaks."""
     at = docs.columns.index(text_col)
     for index in indexes:

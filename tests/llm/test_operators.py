@@ -127,6 +127,50 @@ def test_decontamination_verifies_long_items_whole(spark):
     assert {r["doc_id"] for r in decontamination.drop_leaks(docs, indexes).collect()} == set(range(len(clean)))
 
 
+def bm25(items, passage):
+    """Every item's score for a passage's words, by the definition, segment by segment."""
+    pieces = [(i, x) for i, words in items for x in decontamination.segments(words)]
+    mean = sum(len(x) for _, x in pieces) / len(pieces)
+    holding = Counter(t for _, x in pieces for t in set(x))
+    best = {}
+    for i, x in pieces:
+        norm = decontamination.K1 * (1 - decontamination.B + decontamination.B * len(x) / mean)
+        worth = {t: math.log1p((len(pieces) - holding[t] + 0.5) / (holding[t] + 0.5)) * n * (decontamination.K1 + 1) / (n + norm) for t, n in Counter(x).items()}
+        best[i] = max(best.get(i, 0.0), sum(v for t, v in worth.items() if t in passage) / sum(worth.values()))
+    return best
+
+
+def test_decontamination_in_shards_equals_brute_force(spark, monkeypatch):
+    """Long, repeated, null and short items in one shard and in many, against all pairs."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"q{x}" for x in rng.zipf(1.3, n) % 5000]
+    items = [(i, [*words(int(rng.integers(12, 60))), "donde?", *words(int(rng.integers(6, 20)))]) for i in range(40)]
+    items += [(40, words(300)), (41, words(150)), (42, items[0][1]), (0, items[0][1]), (None, words(30))]
+    rows = [(i, " ".join(w)) for i, w in items] + [(50, None), (51, "")]
+    texts = []
+    for k in range(60):
+        part = items[int(rng.integers(len(items)))][1]
+        cut = part[: int(rng.integers(len(part) // 2, len(part) + 1))] if k % 2 else part
+        texts.append(" ".join([*words(int(rng.integers(0, 200))), *cut, *words(int(rng.integers(0, 200)))]))
+    texts += [None, "", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    once = sorted(map(tuple, decontamination.leaks(docs, decontamination.build(benchmark)).collect()), key=str)
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 9)
+    shards = decontamination.build(benchmark)
+    assert len(shards) > 3
+    many = sorted(map(tuple, decontamination.leaks(docs, shards).collect()), key=str)
+    assert once == many
+    want = {(d, i) for d, t in enumerate(texts) for i, w in items if t and " " + " ".join(w) + " " in f" {t} "}
+    assert want <= {(d, i) for d, i, *_ in once}
+    hashed = [(n, [hash_bytes(w.encode().replace(b"?", b"")) for w in x]) for n, (_, x) in enumerate(items)]
+    for d, i, score, *sides in once:
+        # a window holds part of the document, so its score is the whole document's at most
+        scores = bm25(hashed, {hash_bytes(w) for w in decontamination.words_of(texts[d])})
+        assert decontamination.TAU <= score <= max(scores[n] for n, (j, _) in enumerate(items) if j == i) + 1e-6
+        assert min(sides) >= decontamination.OVERLAP
+
+
 def test_block_max_retrieval_equals_scoring_all():
     rng = np.random.default_rng(1)
     words = [f"v{i}" for i in range(200)]
