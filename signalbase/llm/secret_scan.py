@@ -6,21 +6,31 @@ digits that no base span overlaps. Names, urls and paths run into the secrets be
 them, so a run is cut at inner ``=``, and each part is a family of candidates: itself,
 if one alphabet holds it, and what lies between marks of either base64 alphabet or of
 both. For each, the encoding is inferred as the smallest alphabet that holds it (hex,
-base32, base64) and tested:
-
-* chi-squared uniformity over the alphabet's equal cells and serial correlation of
-  neighbours; a run that a test rejects as uniform noise at ``REJECT`` is no secret;
-* runs: changes of character class along the string, which natural identifiers
-  make seldom; the p-value is the binomial tail at ``CHANGE`` a step.
-
-Of a family, the strongest candidates that do not overlap stay, their p-values times
-the number of candidates (Bonferroni).
-
-P-values are controlled by Benjamini-Hochberg at ``FDR`` over all runs of the corpus,
-separately in strata of length, from a histogram of fixed size that Spark sums.
+base32, base64) and three tests ask how likely a natural identifier of its length would
+look as random. What natural ones do is fixed below:
+
+* chi-squared over the alphabet's equal cells: natural ones use cells unevenly, so the
+  statistic is noncentral, by ``SKEW`` a character; p is its lower tail;
+* runs of characters of one class: natural ones change class in ``CHANGE`` of all steps;
+  p is the binomial's upper tail of the changes seen;
+* serial correlation of neighbours' places in the alphabet: ``FOLLOW`` in natural ones; p
+  is the lower tail of the normal around it.
+
+The three depend on each other, so they are combined as e times their geometric mean,
+weighted by ``WEIGHTS``, which is a p-value whatever the dependence (Vovk and Wang). Of a
+family, the strongest candidates that do not overlap stay, their p-values times the
+number of candidates (Bonferroni).
+
+P-values are controlled by Benjamini-Hochberg at ``FDR`` over all candidates of the
+corpus, separately in strata of length. They are kept as millionths of a decade, rounded
+up; Spark counts them by tenths of a decade first and whole where the threshold may lie,
+so the threshold is exact at every size.
 
 Defined cases: null or empty text has no spans; an empty corpus has no threshold;
-repeated rows are scanned each. Offsets are code points, ends exclusive.
+repeated rows are scanned each; further columns are ignored, and kept by ``redact``.
+Base spans of different kinds may overlap and are all given, random ones overlap none;
+spans that touch or overlap are redacted by one mark. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -42,11 +52,13 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 MIN_VALUE, MIN_HEX, MIN_RANDOM = 12, 16, 16
-CHANGE = 0.15
-REJECT = 0.001
+CHANGE, SKEW, FOLLOW = 0.18, 0.6, 0.35
+WEIGHTS = (0.2, 0.6, 0.2)
 FDR = 0.001
 STRATA = (16, 24, 32, 48, 64)
-LEVELS = 300
+DECADE = 1_000_000
+COARSE = DECADE // 10
+NEVER = 1 << 62
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 HEX = np.zeros(256, bool)
@@ -76,12 +88,18 @@ _FINER = tuple(map(re.compile, (rb"[^_-]+", rb"[^+/]+", rb"[^+/_-]+")))
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
 
 
-def chi_squared_tail(x: float, k: int) -> float:
-    """P(chi-squared with k degrees > x), by the Wilson-Hilferty cube root."""
-    if x <= 0:
-        return 1.0
-    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _log10_normal_below(z: float) -> float:
+    """log10 P(standard normal < z)."""
+    if z > -30:
+        return math.log10(0.5 * math.erfc(-z / math.sqrt(2)))
+    return (-z * z / 2 - math.log(-z * math.sqrt(2 * math.pi))) / math.log(10)
+
+
+def log10_uniformity(x: float, k: int, shift: float) -> float:
+    """log10 P(noncentral chi-squared with k degrees < x), by Patnaik and Wilson-Hilferty."""
+    scale, degrees = (k + 2 * shift) / (k + shift), (k + shift) ** 2 / (k + 2 * shift)
+    spread = 2 / (9 * degrees)
+    return _log10_normal_below(((x / scale / degrees) ** (1 / 3) - 1 + spread) / math.sqrt(spread))
 
 
 @lru_cache(maxsize=65536)
@@ -95,22 +113,26 @@ def log10_binomial_tail(n: int, k: int, p: float) -> float:
 
 
 def battery(run: np.ndarray) -> tuple[float, float, float]:
-    """(p of uniformity, p of no serial correlation, log10 p of the runs test)."""
+    """log10 p of a natural identifier: by uniformity, runs and serial correlation."""
     body = run[: len(run) - int((run[-2:] == 0x3D).sum())]
-    position = next((p for t in _POSITION if (p := t[body]).min() >= 0), None)
-    if position is None or len(body) < MIN_RANDOM:
+    which = next((i for i, t in enumerate(_POSITION) if len(body) >= MIN_RANDOM and t[body].min() >= 0), None)
+    if which is None:
         return 0.0, 0.0, 0.0
-    size = next(len(a) for a, t in zip(ALPHABETS, _POSITION) if t[body].min() >= 0)
+    position, size, n = _POSITION[which][body], len(ALPHABETS[which]), len(body)
     cells = min(size, 8)
     counts = np.bincount(position * cells // size, minlength=cells)
-    expected = len(body) / cells
-    uniform = chi_squared_tail(float(((counts - expected) ** 2 / expected).sum()), cells - 1)
+    uniform = log10_uniformity(float(((counts - n / cells) ** 2).sum()) * cells / n, cells - 1, SKEW * n)
+    kind = DIGIT[body] * 1 + UPPER[body] * 2 + LOWER[body] * 3
+    changes = log10_binomial_tail(n - 1, int((kind[1:] != kind[:-1]).sum()), CHANGE)
     x = position - position.mean()
     spread = float((x * x).sum())
     r = float((x[:-1] * x[1:]).sum()) / spread if spread else 1.0
-    serial = math.erfc(abs(r) * math.sqrt(len(body)) / math.sqrt(2))
-    kind = DIGIT[body] * 1 + UPPER[body] * 2 + LOWER[body] * 3
-    return uniform, serial, log10_binomial_tail(len(body) - 1, int((kind[1:] != kind[:-1]).sum()), CHANGE)
+    return uniform, changes, _log10_normal_below((r - FOLLOW) * math.sqrt(n))
+
+
+def combined(logs: tuple[float, float, float]) -> float:
+    """log10 of e times the weighted geometric mean of p-values, 1 at most."""
+    return min(0.0, math.log10(math.e) + sum(w * x for w, x in zip(WEIGHTS, logs)))
 
 
 def families(run: bytes) -> Iterator[list[tuple[int, int]]]:
@@ -124,17 +146,14 @@ def families(run: bytes) -> Iterator[list[tuple[int, int]]]:
 
 
 def random_spans(run: np.ndarray, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(start, end, level) of the candidates that stay; ``taken`` are base spans."""
+    """(start, end, level) of the candidates that stay; ``taken`` are base spans.
+
+    The level is -log10 p in parts of a ``DECADE``.
+    """
     for family in families(run.tobytes()):
         family = [(a, b) for a, b in family if not any(x < b and a < y for x, y in taken)]
-        less = 10 * math.log10(len(family)) if family else 0.0
-        found: list[tuple[int, int, int]] = []
-        for a, b in family:
-            if any(level == LEVELS and x <= a and b <= y for x, y, level in found):
-                continue  # nothing inside is stronger
-            uniform, serial, p = battery(run[a:b])
-            if uniform >= REJECT and serial >= REJECT:
-                found.append((a, b, max(0, min(LEVELS, int(-10 * p - less)))))
+        less = math.log10(len(family)) if family else 0.0
+        found = [(a, b, max(0, math.floor(-(combined(battery(run[a:b])) + less) * DECADE))) for a, b in family]
         kept: list[tuple[int, int, int]] = []
         for a, b, level in sorted(found, key=lambda f: (-f[2], f[0] - f[1], f[0])):
             if not any(x < b and a < y for x, y, _ in kept):
@@ -189,8 +208,8 @@ def scan_chunk(chunk: Chunk) -> Iterator[list[dict]]:
         yield [dict(zip(("start", "kind", "end", "stratum", "level"), r)) for r in sorted(rows)]
 
 
-SPANS = "array<struct<start:long,kind:int,end:long,stratum:int,level:int>>"
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("stratum", pa.int32()), ("level", pa.int32())]))
+SPANS = "array<struct<start:long,kind:int,end:long,stratum:int,level:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("stratum", pa.int32()), ("level", pa.int64())]))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,17 +224,40 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def cutoffs(found: DataFrame, fdr: float = FDR) -> list[int]:
-    """Benjamini-Hochberg by stratum of length: the least level that is kept."""
-    rows = found.select(F.explode("found").alias("s")).where("s.kind = 3").groupBy("s.stratum", "s.level").count().collect()
-    keep = [LEVELS + 1] * len(STRATA)
-    for stratum in range(len(STRATA)):
-        levels = sorted(((r["level"], r["count"]) for r in rows if r["stratum"] == stratum), reverse=True)
-        total, seen = sum(n for _, n in levels), 0
-        for level, n in levels:
-            seen += n
-            if 10 ** (-level / 10) <= fdr * seen / total:
-                keep[stratum] = level
-    return keep
+    """Benjamini-Hochberg by stratum of length: the least level that is kept.
+
+    That is the largest p with p <= fdr * rank / all. Tenths of a decade are counted
+    first; levels one by one only in those tenths that may hold it.
+    """
+    rows = found.select(F.explode("found").alias("s")).where("s.kind = 3").select("s.stratum", "s.level")
+    by: list[dict[int, int]] = [{} for _ in STRATA]
+    for r in rows.groupBy("stratum", F.floor(F.col("level") / COARSE).alias("part")).count().collect():
+        by[r["stratum"]][r["part"]] = r["count"]
+    open_, above, total = [], {}, [sum(parts.values()) for parts in by]
+    for stratum, parts in enumerate(by):
+        rank = total[stratum]
+        for part in sorted(parts):
+            if 10 ** (-(part + 1) * COARSE / DECADE) <= fdr * rank / total[stratum]:
+                open_.append((stratum, part))
+                above[stratum, part] = rank - parts[part]
+                if 10 ** (-part * COARSE / DECADE) <= fdr * rank / total[stratum]:
+                    break  # its weakest level is kept for sure
+            rank -= parts[part]
+    keep = [None] * len(STRATA)
+    if open_:
+        wanted = F.lit(False)
+        for stratum, part in open_:
+            wanted = wanted | ((F.col("stratum") == stratum) & (F.col("level") >= part * COARSE) & (F.col("level") < (part + 1) * COARSE))
+        levels: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in rows.where(wanted).groupBy("stratum", "level").count().collect():  # COARSE levels a part at most
+            levels.setdefault((r["stratum"], r["level"] // COARSE), []).append((r["level"], r["count"]))
+        for stratum, part in open_:
+            rank = above[stratum, part]
+            for level, n in sorted(levels[stratum, part], reverse=True):
+                rank += n
+                if 10 ** (-level / DECADE) <= fdr * rank / total[stratum]:
+                    keep[stratum] = level if keep[stratum] is None else min(keep[stratum], level)
+    return [NEVER if k is None else k for k in keep]
 
 
 def kept_spans(keep: list[int], column: str = "found") -> Column:
