@@ -7,6 +7,9 @@ no rule decides get the verdict of their host:
   ``href``), plus edges between a host and its parent domain where both have pages;
 * trust is personalised PageRank from trusted seeds along the edges; distrust is
   the same from blocked seeds along reversed edges (who links to bad hosts);
+* rank at hosts without an edge onward goes back to the seeds, so none is lost; that is the
+  ranks' sum over walks that end there, made to add up to one, whatever the host. Rounds
+  go on until walks carry less than ``CONVERGED`` of the rank;
 * seeds are given hosts and hosts whose rule-decided pages are mostly allowed, or
   mostly blocked;
 * a host is blocked when distrust makes up ``THRESHOLD`` or more of its two ranks.
@@ -15,7 +18,8 @@ Everything is DataFrame operations; ranks are written out every few rounds.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule
 and the verdict allow; hosts that no rank reaches are allowed; repeated rows are
-judged each; null or missing html has no links; an empty table gives no rows.
+judged each; null or missing html has no links; an empty table gives no rows; further
+columns are ignored; equal ranks block.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+CONVERGED = 1e-3
 SAVE_EVERY = 4
 THRESHOLD = 0.5
 LINKS = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -70,27 +74,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` of personalised PageRank.
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, converged: float = CONVERGED) -> DataFrame:
+    """(host, trust, distrust): personalised PageRank, each adding up to one.
 
     edges: src, dst. seeds: host, kind ('trust' or 'distrust'). Trust follows edges,
-    distrust their reverse; both go in one table, told apart by kind. Rank at hosts
-    without edges onward stays there only as what the seeds give anew.
+    distrust their reverse; both go in one table, told apart by kind. A host's rank is the
+    sum over all walks from the seeds to it, each step weighing ``damping`` over the
+    edges onward. Every round takes all walks a step further, so what they carry shrinks by
+    the damping at least, and rounds end; it is looked at every ``SAVE_EVERY`` rounds.
     """
     way = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degree = way.groupBy("kind", "src").agg((1.0 / F.count("*")).alias("share"))
+    degree = way.groupBy("kind", "src").agg((damping / F.count("*")).alias("share"))
     way = scratch.save(way.join(degree, ["kind", "src"]).withColumnRenamed("src", "host"), "edges")
     total = seeds.groupBy("kind").agg(F.count("*").alias("n"))
-    start = scratch.save(seeds.join(total, "kind").select("kind", "host", (1.0 / F.col("n")).alias("rank")), "seeds")
-    again = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
-    rank = start
-    for i in range(1, rounds + 1):
-        moved = rank.join(way, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.union(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+    walks = scratch.save(seeds.join(total, "kind").select("kind", "host", (1.0 / F.col("n")).alias("rank"), (1.0 / F.col("n")).alias("carried")), "rank0")
+    i = 0
+    while True:
+        i += 1
+        moved = walks.join(way, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("carried") * F.col("share")).alias("carried"))
+        both = walks.select("kind", "host", "rank", F.lit(0.0).alias("carried")).union(moved.select("kind", "host", "carried", "carried"))
+        walks = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("carried").alias("carried"))
         if i % SAVE_EVERY == 0:
-            rank = scratch.save(rank, f"rank{i}")
-    one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
-    return rank.groupBy("host").agg(one("trust"), one("distrust"))
+            walks = scratch.save(walks, f"rank{i}")
+            scratch.drop(f"rank{i - SAVE_EVERY}")
+            left = walks.groupBy("kind").agg((F.sum("carried") / F.sum("rank")).alias("left")).agg(F.max("left")).first()[0]
+            if left is None or left <= converged * (1 - damping):
+                whole = walks.groupBy("kind").agg(F.sum("rank").alias("whole"))
+                share = walks.join(whole, "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
+                one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
+                return share.groupBy("host").agg(one("trust"), one("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, trusted: tuple[str, ...] = (), blocked: tuple[str, ...] = ()) -> DataFrame:

@@ -324,6 +324,44 @@ def test_secret_scan_finds_secrets_joined_to_names_and_paths(spark):
     assert secret_scan.redact(names).first()["text"] == "/static-v2/articulo_numero_uno_de_2024/el_canal=ver-todo/2024"
 
 
+def test_secret_scan_controls_false_discoveries(spark):
+    """Spans against Benjamini-Hochberg by its definition over all candidates of a length."""
+    rng = np.random.default_rng(6)
+    noise = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    names = "canal puerto lluvia informe mesa Panama norte Azuero costa Servicio".split()
+    texts = []
+    for i in range(400):
+        made = "".join(rng.choice(noise, int(rng.integers(16, 70)))) if i % 3 else "".join(rng.choice(names, int(rng.integers(3, 9)))) + str(rng.integers(10, 3000))
+        texts.append(f"un {made} fin")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    found = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not secrets_of(t):
+                logs = secret_scan.battery(np.frombuffer(m[0].encode(), np.uint8))
+                found.append((sum(len(m[0]) >= x for x in secret_scan.STRATA), 10.0 ** secret_scan.combined(logs), i, f"random:{m.start()}:{m.end()}"))
+    want = {}
+    for stratum in {f[0] for f in found}:
+        p = np.array([f[1] for f in found if f[0] == stratum])
+        kept = [x for x in p if x <= secret_scan.FDR * (p <= x).sum() / len(p)]
+        want |= {f[2]: f[3] for f in found if f[0] == stratum and kept and f[1] <= max(kept)}
+    assert {i: x for i, x in got.items() if "random" in x} == want
+    assert sum(i % 3 > 0 for i in want) > 150 and sum(i % 3 == 0 for i in want) <= 1
+
+
+def test_tests_of_randomness_know_natural_names():
+    rng = np.random.default_rng(2)
+    draw = lambda n, p: sum(rng.random(n) < p)
+    tails = [10 ** secret_scan.log10_binomial_tail(30, k, 0.2) for k in range(31)]
+    seen = np.array([draw(30, 0.2) for _ in range(4000)])
+    assert all(abs((seen >= k).mean() - tails[k]) < 0.03 for k in range(31))
+    shifted = rng.noncentral_chisquare(7, 20, 20_000)
+    for x in (8.0, 15.0, 25.0, 40.0):
+        assert abs((shifted < x).mean() - 10 ** secret_scan.log10_uniformity(x, 7, 20.0)) < 0.02
+    assert secret_scan._log10_normal_below(-29.9) == pytest.approx(secret_scan._log10_normal_below(-30.1), abs=3)
+    assert secret_scan.combined((0.0, 0.0, 0.0)) == 0.0 and secret_scan.combined((-3.0, -3.0, -3.0)) == pytest.approx(math.log10(math.e) - 3)
+
+
 def test_packing(docs, odd):
     for rows in (docs, odd):
         got = packing.pack(rows).collect()
@@ -451,16 +489,61 @@ def test_page_rank(spark):
 
     edges = [("a", "b"), ("b", "c"), ("d", "c"), ("c", "a"), ("e", "d")]
     seeds = [("a", "trust"), ("c", "distrust")]
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "host string, kind string"), Scratch(spark, "t")).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "host string, kind string"), Scratch(spark, "t"), converged=1e-6).collect()}
     for kind, way, seed in (("trust", edges, "a"), ("distrust", [(b, a) for a, b in edges], "c")):
-        rank = {seed: 1.0}
-        for _ in range(url_filter.ROUNDS):
-            after = Counter({seed: 1 - url_filter.DAMPING})
-            for u, v in way:
-                after[v] += url_filter.DAMPING * rank.get(u, 0) / sum(x == u for x, _ in way)
-            rank = after
-        for h, v in got.items():
-            assert v[kind == "distrust"] == pytest.approx(rank.get(h, 0.0))
+        rank = page_rank(way, [seed])
+        assert sum(rank.values()) == pytest.approx(1.0)
+        for h in rank.keys() | got.keys():
+            assert got.get(h, (0.0, 0.0))[kind == "distrust"] == pytest.approx(rank.get(h, 0.0), abs=1e-5)
+
+
+def page_rank(way, seeds, damping=0.85):
+    """Personalised PageRank by the definition, on dicts; dangling rank goes to the seeds."""
+    rank = {s: 1 / len(seeds) for s in seeds}
+    onward = Counter(u for u, _ in way)
+    for _ in range(300):
+        after = Counter()
+        for u, v in way:
+            after[v] += damping * rank.get(u, 0) / onward[u]
+        back = sum(r * ((1 - damping) if onward[h] else 1.0) for h, r in rank.items())
+        for s in seeds:
+            after[s] += back / len(seeds)
+        rank = after
+    return rank
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Pages that link to others, rows twice and clashing columns; and an empty table."""
+    rng = np.random.default_rng(7)
+    hosts = [f"{a}.{b}" for a in ("a.example", "b", "c.d", "example", "news", "x") for b in ("com", "net", "org", "info", "dev")]
+    paths = ["/en/1", "/en/7", "/de/1", "/de/8x", "/es/2", "/", "", "/a?b"]
+    rows = []
+    for i in range(300):
+        links = "".join(f"<a href='//{hosts[j]}/q'>" for j in rng.integers(0, len(hosts), int(rng.integers(0, 3))))
+        host = hosts[int(rng.integers(len(hosts)))]
+        usual = {"com": "/en/1", "org": "/es/2", "net": "/de/1"}.get(host.rpartition(".")[2]) if rng.random() < 0.8 else None
+        rows.append((i, f"https://{host}{usual or paths[int(rng.integers(len(paths)))]}", links))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("z"), "kind": F.lit(1), "trust": F.lit(2), "rank": F.lit(3)})
+    got = Counter(tuple(r) for r in url_filter.judge(df).collect())
+    parsed = []
+    for i, url, html in rows:
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", url)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (m[1] == h or m[1].endswith("." + h)) and m[2].startswith(p)]
+        parsed.append((i, m[1], m[2], *(max(fits)[1:] if fits else (None, None)), re.findall(r"//([^/]+)/q", html)))
+    seen = {h for _, h, *_ in parsed}
+    edges = {(h, to) for _, h, _, _, _, out in parsed for to in out}
+    edges |= {e for h in seen if h.partition(".")[2] in seen for e in ((h, h.partition(".")[2]), (h.partition(".")[2], h))}
+    edges = sorted(e for e in edges if e[0] != e[1])
+    votes = {h: Counter(v for _, x, _, _, v, _ in parsed if x == h) for h in seen}
+    bad = [h for h, c in votes.items() if 2 * c["block"] >= sum(c.values())]
+    good = [h for h, c in votes.items() if h not in bad and c["allow"] > c["block"]]
+    assert bad and good
+    trust, distrust = page_rank(edges, good), page_rank([(b, a) for a, b in edges], bad)
+    of = {h: "block" if distrust.get(h, 0) >= url_filter.THRESHOLD * (trust.get(h, 0) + distrust.get(h, 0)) > 0 else "allow" for h in seen}
+    want = Counter((i, h, p, rule, v or of[h]) for i, h, p, rule, v, _ in parsed)
+    assert got == want and len({v for *_, rule, v in want if rule is None}) == 2
+    assert url_filter.judge(df.where("false")).count() == 0
 
 
 def test_chat_format(spark, monkeypatch):
