@@ -94,11 +94,34 @@ def test_cotraining_holds_out():
     y = (np.arange(600) % 2).astype(float)
     x = [np.column_stack((y + rng.normal(0, 0.4, 600), rng.normal(0, 1, 600))).astype(np.float32) for _ in (0, 1)]
     check = np.arange(600) % 3 == 2
-    model = cotraining.cotrain([v[:300] for v in x], y[:300], [v[300:] for v in x], check[:300])
+    model = cotraining.cotrain([v[:300] for v in x], y[:300], check[:300], cotraining.among([v[300:] for v in x]))
     z = sum(cotraining.calibrated(model, tuple(v[300:] for v in x)))
     assert ((z > 0) == (y[300:] > 0)).mean() > 0.9
 
 
+def test_cotraining_over_a_table_equals_the_one_in_memory(docs, labels, spark, tmp_path):
+    """The same model, from all documents, repeated ones and ones without id included."""
+    extra = docs.limit(30).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    cotraining.features(docs.union(extra)).write.parquet(f"{tmp_path}/x")
+    table = spark.read.parquet(f"{tmp_path}/x")
+    model = cotraining.fit(table, labels, seed_rows=90, growth=20)
+    rows = table.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", cotraining._place("doc_id").alias("place"), "x").toArrow()
+    ids, place, x = np.asarray(rows["doc_id"]), np.asarray(rows["place"]), cotraining._sides(rows["x"].combine_chunks())
+    y = {r["doc_id"]: float(r["quality"]) for r in labels.collect()}
+    order = np.lexsort((ids, place))
+    seeds = [i for i in order if ids[i] in y][:90]
+    others = [i for i in order if i not in set(seeds)]
+    want = cotraining.cotrain([v[seeds] for v in x], np.array([y[ids[i]] for i in seeds]), np.arange(90) % 3 == 2, cotraining.among([v[others] for v in x], ids[others], place[others], 20))
+    for (w, ab), (v, cd) in zip(model, want):
+        assert np.allclose(w, v, atol=1e-4) and np.allclose(ab, cd, atol=1e-3)
+    # held out: labelled documents that were not among the seeds
+    scored = {r["doc_id"]: r["kept"] for r in cotraining.score(table, model).collect()}
+    rest = [i for i in y if i not in set(ids[seeds].tolist()) and i in scored]
+    assert len(rest) > 20 and np.mean([scored[i] == (y[i] == 1) for i in rest]) > 0.9
+    none = table.where("false")
+    assert cotraining.score(none, cotraining.fit(none, labels)).count() == 0
+
+
 def test_decontamination(docs, spark, odd):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     indexes = decontamination.build(benchmark)
