@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 # fixed values: agency marks and the names they stand for, longest mark first
@@ -10,9 +11,25 @@ AGENCIES = (("EUROPA PRESS", "EUROPA_PRESS"), ("REUTERS", "REUTERS"), ("SPUTNIK"
 TRACKING_PREFIX = "utm_"
 TRACKING_INGEST = ("fbclid", "gclid", "outputtype")
 TRACKING_LOADER = ("fbclid",)
-# fixed values: letters with marks and their plain letters
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def _unmarked() -> tuple[str, str]:
+    """Characters whose compatibility decomposition, less its marks, is one other
+    character, and that character; marks themselves last, without one."""
+    marked, plain, marks = [], [], []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif not 0xD800 <= code < 0xE000:
+            rest = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(rest) == 1 and rest != c:
+                marked.append(c)
+                plain.append(rest)
+    return "".join(marked + marks), "".join(plain)
+
+
+MARKED, PLAIN = _unmarked()
 # fixed values: words that open a natural-event headline, and words that name no place
 QUAKE_WORDS = ("sismo", "temblor", "terremoto", "telurico", "replica")
 GENERIC_PLACES = ("panama", "sismo", "sismos", "temblor", "region", "zona", "cerca", "sureste", "suroeste", "noreste", "noroeste", "south", "north", "east", "west", "near")
@@ -36,6 +53,20 @@ GAP_NONE = "No hay evidencia citable para este grupo."
 GAP_MODEL = "El modelo no devolvió una salida utilizable ({})."
 GAP_INJECTION = "La salida del modelo obedeció contenido de una fuente."
 GAP_UNSUPPORTED = "Ninguna afirmación del modelo quedó sustentada por la evidencia."
+# fixed values: kinds of claims and answers, the five review states, those a person set
+CLAIM_KINDS = ("hecho", "declaracion", "inferencia", "hipotesis")
+ANSWER_KINDS = ("respuesta", "abstencion", "contradiccion")
+REVIEW_STATES = ("nuevo", "en revisión", "requiere evidencia", "aprobado como borrador", "descartado")
+REVIEWED_STATES = ("en revisión", "aprobado como borrador", "descartado")
+# fixed values: numbers and proper nouns of a claim, names that need no evidence
+NUMBER = r"(\d+(?:[.,]\d+)?)"
+PROPER = r"^([A-ZÁÉÍÓÚÑ][a-záéíóúñ]{3,}|[A-ZÁÉÍÓÚÑ]{3,})$"
+PERMITTED_NAMES = ("panama", "segun", "banco", "mundial", "world", "bank")
+# fixed values: words of a question that ask nothing, and answers about drafts
+STOP_WORDS = ("como", "con", "cual", "cuales", "cuando", "donde", "este", "esta", "ficha", "grupo", "hay", "las", "los", "para", "paso", "que", "quien", "sobre", "una", "uno", "unos", "unas")
+NO_ANSWER = "No hay evidencia validada en esta ficha para responder a esa consulta."
+PENDING_REVIEW = "Revisión pendiente: las fuentes no coinciden; no se elige una versión. Una persona debe revisarlas."
+SUGGESTION = "¿Qué dice la ficha sobre {}?"
 # fixed values: answers of reviewers that mean yes
 YES = ("si", "sí", "s", "yes", "y")
 

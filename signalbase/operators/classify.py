@@ -23,30 +23,45 @@ def tfidf(df: DataFrame, key: str, body: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def sparse_scores(weights: DataFrame, key: str, prototypes: DataFrame) -> DataFrame:
-    """(key, prototype, score): cosine by a join on terms. prototypes: prototype, term, weight."""
+MOST_PROTOTYPES = 4096
+
+
+def sparse_scores(weights: DataFrame, key: str, prototypes: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, prototype, score): cosine of every item and prototype, 0 without a shared term.
+
+    prototypes: prototype, term, weight; they are topics, ``MOST_PROTOTYPES`` at most.
+    """
+    names = _few(prototypes.select("prototype").distinct())
     other = prototypes.select("prototype", "term", F.col("weight").alias("_w"))
-    return weights.join(other, "term").groupBy(key, "prototype").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+    met = weights.join(other, "term").groupBy(key, "prototype").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+    every = items.select(key).crossJoin(F.broadcast(names))
+    return every.join(met, [key, "prototype"], "left").select(key, "prototype", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _few(prototypes: DataFrame) -> DataFrame:
+    if prototypes.count() > MOST_PROTOTYPES:
+        raise ValueError(f"more than {MOST_PROTOTYPES} prototypes")
+    return prototypes
 
 
 def dense_scores(items: DataFrame, key: str, vector: str, prototypes: DataFrame) -> DataFrame:
-    """(key, prototype, score) against prototypes (prototype, vector), few by definition."""
-    other = F.broadcast(prototypes.select("prototype", F.col("vector").alias("_v")))
+    """(key, prototype, score) against prototypes (prototype, vector), ``MOST_PROTOTYPES`` at most."""
+    other = F.broadcast(_few(prototypes).select("prototype", F.col("vector").alias("_v")))
     return items.crossJoin(other).select(key, "prototype", vectors.dot(F.col(vector), F.col("_v")).alias("score"))
 
 
 def decide(scores: DataFrame, key: str, order: Column, limits: config.Thresholds = config.Thresholds(), contrast: tuple[str, ...] = ()) -> DataFrame:
     """Best and second prototype of each key and the topic, or abstention.
 
-    Of equal scores the later prototype in ``order`` wins. A contrast prototype, a
-    score or a margin under its limit means 'otros'.
+    Of equal scores the later prototype in ``order`` wins. A contrast prototype, which is
+    named then, or a score or a margin under its limit means 'otros'.
     """
     ranked = scores.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), order.desc())))
     top = ranked.where("_n <= 2").groupBy(key).agg(*(F.max(F.when(F.col("_n") == n, F.col(c))).alias(f"{c}{n}") for n in (1, 2) for c in ("prototype", "score")))
     margin = F.col("score1") - F.coalesce("score2", F.lit(0.0))
     abstain = F.col("prototype1").isin(*contrast) if contrast else F.lit(False)
     topic = F.when(abstain | (F.col("score1") < limits.score) | (margin < limits.margin), config.OTHER).otherwise(F.col("prototype1"))
-    return top.select(key, topic.alias("topic"), F.col("prototype1").alias("best"), F.col("score1").alias("score"), F.col("prototype2").alias("second"), margin.alias("margin"))
+    return top.select(key, topic.alias("topic"), F.col("prototype1").alias("best"), F.col("score1").alias("score"), F.col("prototype2").alias("second"), margin.alias("margin"), F.when(abstain, F.col("prototype1")).alias("contrast"))
 
 
 def majority_topic(df: DataFrame, key: str, topic: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config
+
 
 def latest_per_key(df: DataFrame, keys: list[str], year: str, value: str) -> DataFrame:
     """The row of the latest year with a value of each key."""
@@ -45,7 +47,14 @@ def package(news: DataFrame, indicators: DataFrame, events: DataFrame) -> DataFr
     return as_map(news, "noticia").unionByName(as_map(indicators, "indicador")).unionByName(as_map(events, "evento"))
 
 
-def scope(packages: DataFrame) -> DataFrame:
-    """Groups' scope label; groups without evidence abstain before any model call."""
+def scope(groups: DataFrame, packages: DataFrame) -> DataFrame:
+    """Every group's scope and number of items; one without evidence abstains, with the
+    reason and the gap that a draft states, before any model call."""
     official = F.bool_or(F.col("kind") != "noticia")
-    return packages.groupBy("group_id").agg(F.when(official, "medios_y_oficial").otherwise("solo_medios").alias("scope"), F.count("*").alias("n_evidence"))
+    found = packages.groupBy("group_id").agg(official.alias("_official"), F.count("*").alias("n_evidence"))
+    none = F.col("n_evidence") == 0
+    all_ = groups.select("group_id").join(found, "group_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
+    return all_.select(
+        "group_id", "n_evidence", F.when(F.coalesce("_official", F.lit(False)), config.SCOPE_OFFICIAL).otherwise(config.SCOPE_HEADLINES).alias("scope"),
+        none.alias("abstains"), F.when(none, "sin_evidencia").alias("reason"), F.when(none, config.GAP_NONE).alias("gap"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -108,9 +108,29 @@ def _near(groups: DataFrame, events: DataFrame, before: float, after: float, key
 
 
 def count_events(groups: DataFrame, events: DataFrame, days: float) -> DataFrame:
-    """(group_id, n_events) within ``days`` either way; groups without any have 0."""
-    met = _near(groups.select("group_id", "ts"), events.select("event_id", "event_ts"), days * 24, days * 24).groupBy("group_id").agg(F.count("*").alias("n"))
-    return groups.select("group_id").join(met, "group_id", "left").select("group_id", F.coalesce("n", F.lit(0)).alias("n_events"))
+    """(group_id, n_events) within ``days`` either way, both ends included; groups without
+    any, or without a time, have 0.
+
+    The events up to a window's end, less those before its start, are counted by running
+    sums: of whole hours over the hours there are, and inside an hour over its rows. So
+    no pair is formed, however many events a window holds.
+    """
+    hour, reach = 3_600_000_000, int(days * 86_400_000_000)
+    at = F.unix_micros("ts")
+    # an event counts for a start only if before it, for an end also if at it
+    edges = F.array(F.struct((at - reach).alias("t"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")), F.struct((at + reach).alias("t"), F.lit(2).alias("turn"), F.lit(1).alias("sign")))
+    asked = groups.where("ts is not null").select("group_id", F.inline(edges), F.lit(0).alias("is_event"))
+    known = events.where("event_ts is not null").select(F.lit(None).cast("string").alias("group_id"), F.unix_micros("event_ts").alias("t"), F.lit(1).alias("turn"), F.lit(0).alias("sign"), F.lit(1).alias("is_event"))
+    rows = asked.select(F.col("group_id").cast("string").alias("group_id"), "t", "turn", "sign", "is_event").union(known).withColumn("hour", F.floor(F.col("t") / hour))
+    per = known.groupBy(F.floor(F.col("t") / hour).alias("hour")).agg(F.count("*").alias("n"))
+    hours = rows.select("hour").distinct().join(per, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
+    # as many rows as there are hours; they don't grow with the events
+    before = hours.select("hour", F.coalesce(F.sum("n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("is_event").over(Window.partitionBy("hour").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.withColumn("inside", inside).where("is_event = 0").join(before, "hour")
+    found = counted.groupBy("group_id").agg(F.sum(F.col("sign") * (F.col("before") + F.col("inside"))).alias("n"))
+    named = groups.select("group_id", F.col("group_id").cast("string").alias("_g"))
+    return named.join(found.withColumnRenamed("group_id", "_g"), "_g", "left").select("group_id", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
 def unique_links(groups: DataFrame, events: DataFrame, condition: Column, before: float, after: float, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -88,14 +88,34 @@ SCORED = GROUPS + """, parts AS (SELECT *, len(list_intersect(sources, ['src5','
 # --- urls, texts and dates -----------------------------------------------------
 
 
-@query("SELECT page_id, regexp_replace(rb, '/+$', '') || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS normalized FROM (SELECT page_id, split_part(w, '?', 1) AS rb, list_filter(string_split(CASE WHEN contains(w, '?') THEN substr(w, instr(w, '?') + 1) ELSE '' END, '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND split_part(lower(p), '=', 1) NOT IN ('fbclid', 'gclid', 'outputtype')) AS ps FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', ''), '^www\\.', '') AS w FROM pages))")
+def _odd_urls(spark, sf):
+    """Urls in odd forms: letters' case, roots, parameters to drop, blanks and ports."""
+    u, k = F.col("url"), F.col("page_id")
+    host, path = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1), F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    forms = (u, F.concat(F.lit("https://WWW."), F.upper(host), F.lit("/")), F.concat(F.lit("http://"), host, F.lit("/?id="), k, F.lit("&UTM_Source=x&fbclid=1")), F.concat(F.lit(" HTTPS://Www."), host, F.lit(":8080"), path, F.lit("//?a=b%20c&d=%C3%B1+e~*&f&outputType=amp#x ")), F.concat(F.lit("https://"), host), F.concat(F.lit("www."), host, path), F.concat(F.lit("//"), host, path, F.lit("/?gclid=2")))
+    picked = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", picked.alias("url"))
+
+
+ODD_URLS = r"""WITH h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+odd AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'https://WWW.' || upper(host) || '/' WHEN 2 THEN 'http://' || host || '/?id=' || page_id || '&UTM_Source=x&fbclid=1' WHEN 3 THEN ' HTTPS://Www.' || host || ':8080' || path || '//?a=b%20c&d=%C3%B1+e~*&f&outputType=amp#x ' WHEN 4 THEN 'https://' || host WHEN 5 THEN 'www.' || host || path ELSE '//' || host || path || '/?gclid=2' END AS u FROM h),
+cut AS (SELECT page_id, split_part(trim(u), '#', 1) AS w FROM odd),
+net AS (SELECT page_id, regexp_replace(w, '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS w FROM cut),
+parts AS (SELECT page_id, CASE WHEN starts_with(w, '//') THEN regexp_extract(w, '^//([^/?]*)', 1) ELSE '' END AS netloc, CASE WHEN starts_with(w, '//') THEN regexp_extract(w, '^//[^/?]*([^?]*)', 1) ELSE split_part(w, '?', 1) END AS path, CASE WHEN contains(w, '?') THEN substr(w, instr(w, '?') + 1) ELSE '' END AS query FROM net),
+pairs AS (SELECT page_id, regexp_replace(lower(netloc), '^www\.', '') AS host, rtrim(path, '/') AS path, list_transform(list_filter(string_split(query, '&'), lambda p: p <> ''), lambda p: {'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': CASE WHEN contains(p, '=') THEN url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' ')) ELSE '' END}) AS q FROM parts),
+kept AS (SELECT page_id, host, path, list_filter(q, lambda p: NOT starts_with(lower(p.k), 'utm_') AND lower(p.k) NOT IN ('fbclid', 'gclid', 'outputtype')) AS q, list_filter(q, lambda p: NOT starts_with(lower(p.k), 'utm_') AND lower(p.k) <> 'fbclid') AS ql FROM pairs),
+done AS (SELECT page_id, host, path, array_to_string(list_transform(q, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') AS q, array_to_string(list_transform(ql, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') AS ql FROM kept),
+keys AS (SELECT page_id, ltrim(host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q <> '' THEN '?' || q ELSE '' END, '/') AS normalized, CASE WHEN host <> '' THEN '//' || host ELSE '' END || path || CASE WHEN ql <> '' THEN '?' || ql ELSE '' END AS loaded FROM done)"""
+
+
+@query(ODD_URLS + " SELECT page_id, normalized, loaded FROM keys")
 def url_normalize(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.normalize_url(F.col("url")).alias("normalized"))
+    return _odd_urls(spark, sf).select("page_id", text.normalize_url(F.col("url")).alias("normalized"), text.normalize_url(F.col("url"), config.TRACKING_LOADER, loader=True).alias("loaded"))
 
 
-@query("SELECT page_id, 'N-' || left(sha1(regexp_extract(url, '^[a-z]+://([^?#]*)', 1)), 12) AS news_id FROM pages")
+@query(ODD_URLS + " SELECT page_id, 'N-' || left(sha1(normalized), 12) AS news_id FROM keys")
 def url_ids(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.news_id(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)).alias("news_id"))
+    return _odd_urls(spark, sf).select("page_id", text.news_id(F.col("url")).alias("news_id"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain, regexp_matches(url, '^https?://[^/?#]+') AS valid FROM pages")
@@ -113,14 +133,14 @@ def provenance_tag(spark, sf):
     return news(spark, sf).select("id", text.provenance(F.col("outlet"), F.col("title"), F.col("url")).alias("provenance"))
 
 
-@query(NEWS + """ SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(translate(lower(title), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[a-z]{4,}'), lambda w: w NOT IN ('panama','sismo','sismos','temblor','region','zona','cerca','sureste','suroeste','noreste','noroeste','south','north','east','west','near')))) AS places FROM news""")
+@query(NEWS + """ SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(title)), '[a-z]{4,}'), lambda w: w NOT IN ('panama','sismo','sismos','temblor','region','zona','cerca','sureste','suroeste','noreste','noroeste','south','north','east','west','near')))) AS places FROM news""")
 def place_tokens(spark, sf):
     return news(spark, sf).select("id", F.array_sort(F.array_distinct(text.place_tokens(F.col("title")))).alias("places"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)*')) AS INT) AS n_numbers FROM documents")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) AS INT) AS n_numbers FROM documents")
 def numbers_in_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(grounding.NUMBER), 1)).alias("n_numbers"))
+    return table(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(config.NUMBER), 1)).alias("n_numbers"))
 
 
 @query(NEWS + " SELECT id, CASE WHEN contains(lower(title), 'the of') OR contains(lower(title), 'und der') OR contains(lower(title), 'de la') THEN 1.0::DOUBLE WHEN contains(lower(title), 'tion') OR contains(lower(title), 'ment') THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS impact FROM news")
@@ -330,16 +350,15 @@ def event_link_unique(spark, sf):
     return score.unique_links(buys, errors, F.abs(F.col("told") - F.col("value")) <= 20, 12, 48, ("user_id",))
 
 
-@query("WITH p AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase' AND user_id < 20), e AS (SELECT ts FROM events WHERE event_type = 'error' AND user_id < 20) SELECT CAST(p.event_id AS VARCHAR) AS group_id, count(e.ts) AS n_events FROM p LEFT JOIN e ON p.ts - e.ts BETWEEN INTERVAL '-1 day' AND INTERVAL '1 day' GROUP BY p.event_id")
+@query("WITH p AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase'), e AS (SELECT ts FROM events WHERE event_type = 'error') SELECT CAST(p.event_id AS VARCHAR) AS group_id, count(e.ts) AS n_events FROM p LEFT JOIN e ON e.ts BETWEEN p.ts - INTERVAL '1 day' AND p.ts + INTERVAL '1 day' GROUP BY p.event_id")
 def event_count_window(spark, sf):
-    buys, errors = _purchases(spark, sf)
-    return score.count_events(buys.where("user_id < 20"), errors.where("user_id < 20"), 1)
+    return score.count_events(*_purchases(spark, sf), 1)
 
 
 # --- classification and clustering --------------------------------------------------
 
 
-@query("SELECT doc_id, term, round(w / norm, 6) AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS norm FROM (SELECT doc_id, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM (SELECT doc_id, term, count(*) AS c, count(*) OVER (PARTITION BY term) AS df, (SELECT count(*)::DOUBLE FROM documents) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[a-z0-9_]{2,}')) AS term FROM documents) GROUP BY doc_id, term)))")
+@query("SELECT doc_id, term, round(w / norm, 6) AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS norm FROM (SELECT doc_id, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM (SELECT doc_id, term, count(*) AS c, count(*) OVER (PARTITION BY term) AS df, (SELECT count(*)::DOUBLE FROM documents) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9_]{2,}')) AS term FROM documents) GROUP BY doc_id, term)))")
 def tfidf_weights(spark, sf):
     return classify.tfidf(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -349,32 +368,28 @@ def _prototypes(spark, sf):
     return items.groupBy(F.col("item_id").alias("prototype"), "term").agg((F.count("*") * F.lit(0.1)).alias("weight"))
 
 
-TFIDF = "SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM (SELECT doc_id, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM (SELECT doc_id, term, count(*) AS c, count(*) OVER (PARTITION BY term) AS df, (SELECT count(*)::DOUBLE FROM documents) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[a-z0-9_]{2,}')) AS term FROM documents) GROUP BY doc_id, term))"
-CLASSIFY = f"WITH t AS ({TFIDF}), p AS (SELECT item_id AS prototype, term, count(*) * 0.1::DOUBLE AS weight FROM (SELECT item_id, unnest(regexp_extract_all(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[a-z0-9_]{{2,}}')) AS term FROM benchmark WHERE item_id < 8) GROUP BY ALL), s AS (SELECT doc_id, prototype, round(sum(t.weight * p.weight), 6) AS score FROM t JOIN p USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, prototype DESC) AS k FROM s), two AS (SELECT doc_id, max(prototype) FILTER (k = 1) AS best, max(score) FILTER (k = 1) AS score, max(prototype) FILTER (k = 2) AS second, max(score) FILTER (k = 2) AS score2 FROM r WHERE k <= 2 GROUP BY doc_id)"
+TFIDF = "SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM (SELECT doc_id, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM (SELECT doc_id, term, count(*) AS c, count(*) OVER (PARTITION BY term) AS df, (SELECT count(*)::DOUBLE FROM documents) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9_]{2,}')) AS term FROM documents) GROUP BY doc_id, term))"
+CLASSIFY = f"""WITH t AS ({TFIDF}), p AS (SELECT item_id AS prototype, term, count(*) * 0.1::DOUBLE AS weight FROM (SELECT item_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9_]{{2,}}')) AS term FROM benchmark WHERE item_id < 8) GROUP BY ALL),
+m AS (SELECT doc_id, prototype, sum(t.weight * p.weight) AS score FROM t JOIN p USING (term) GROUP BY ALL),
+s AS (SELECT d.doc_id, n.prototype, round(coalesce(m.score, 0.0), 6) AS score FROM documents d CROSS JOIN (SELECT DISTINCT prototype FROM p) n LEFT JOIN m ON m.doc_id = d.doc_id AND m.prototype = n.prototype),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, prototype DESC) AS k FROM s), two AS (SELECT doc_id, max(prototype) FILTER (k = 1) AS best, max(score) FILTER (k = 1) AS score, max(prototype) FILTER (k = 2) AS second, max(score) FILTER (k = 2) AS score2 FROM r WHERE k <= 2 GROUP BY doc_id)"""
 
 
-@query(CLASSIFY + " SELECT doc_id, CASE WHEN score < 0.1 OR score - coalesce(score2, 0) < 0.01 THEN 'otros' ELSE CAST(best AS VARCHAR) END AS topic, CAST(best AS VARCHAR) AS best, score, CAST(second AS VARCHAR) AS second, round(score - coalesce(score2, 0), 6) AS margin FROM two")
+@query(CLASSIFY + " SELECT doc_id, CASE WHEN best IN (2, 5) OR score < 0.1 OR score - score2 < 0.01 THEN 'otros' ELSE CAST(best AS VARCHAR) END AS topic, CAST(best AS VARCHAR) AS best, score, CAST(second AS VARCHAR) AS second, round(score - score2, 6) AS margin, CASE WHEN best IN (2, 5) THEN CAST(best AS VARCHAR) END AS contrast FROM two")
 def tfidf_classify(spark, sf):
-    weights = classify.tfidf(table(spark, sf, "documents"), "doc_id", "text")
-    scores = classify.sparse_scores(weights, "doc_id", _prototypes(spark, sf)).withColumn("score", F.round("score", 6))
+    docs = table(spark, sf, "documents")
+    scores = classify.sparse_scores(classify.tfidf(docs, "doc_id", "text"), "doc_id", _prototypes(spark, sf), docs).withColumn("score", F.round("score", 6))
     named = scores.withColumn("prototype", F.col("prototype").cast("string"))
-    return classify.decide(named, "doc_id", F.col("prototype").cast("long"), config.Thresholds(0.1, 0.01)).withColumn("margin", F.round("margin", 6))
+    return classify.decide(named, "doc_id", F.col("prototype").cast("long"), config.Thresholds(0.1, 0.01), ("2", "5")).withColumn("margin", F.round("margin", 6))
 
 
-@query("WITH p AS (SELECT label AS prototype, embedding AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT e.vec_id, p.prototype, round(list_dot_product(e.embedding::DOUBLE[], p.v::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT row_number() OVER (ORDER BY vec_id) AS prototype, embedding AS v FROM embeddings WHERE vec_id < 10) p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, prototype DESC) AS k FROM s) SELECT vec_id, CAST(max(prototype) FILTER (k = 1) AS BIGINT) AS best, max(score) FILTER (k = 1) AS score, CAST(max(prototype) FILTER (k = 2) AS BIGINT) AS second FROM r WHERE k <= 2 GROUP BY vec_id")
+@query("WITH s AS (SELECT e.vec_id, p.prototype, round(list_dot_product(e.embedding::DOUBLE[], p.v::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT vec_id + 1 AS prototype, embedding AS v FROM embeddings WHERE vec_id < 10) p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, prototype DESC) AS k FROM s), two AS (SELECT vec_id, max(prototype) FILTER (k = 1) AS best, max(score) FILTER (k = 1) AS score, max(prototype) FILTER (k = 2) AS second, max(score) FILTER (k = 2) AS score2 FROM r WHERE k <= 2 GROUP BY vec_id) SELECT vec_id, CASE WHEN best > 6 OR score < 0.25 OR score - score2 < 0.01 THEN 'otros' ELSE 'T' || best END AS topic, 'T' || best AS best, score, 'T' || second AS second, CASE WHEN best > 6 THEN 'T' || best END AS contrast FROM two")
 def proto_classify(spark, sf):
     vecs = table(spark, sf, "embeddings")
-    protos = vecs.where("vec_id < 10").select((F.col("vec_id") + 1).alias("prototype"), F.col("embedding").alias("vector"))
+    protos = vecs.where("vec_id < 10").select(F.concat(F.lit("T"), F.col("vec_id") + 1).alias("prototype"), F.col("embedding").alias("vector"))
     scores = classify.dense_scores(vecs, "vec_id", "embedding", protos).withColumn("score", F.round("score", 6))
-    return _top2(scores)
-
-
-def _top2(scores: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    ranked = scores.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), F.desc("prototype")))).where("k <= 2")
-    pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    return ranked.groupBy("vec_id").agg(pick("prototype", 1).alias("best"), pick("score", 1).alias("score"), pick("prototype", 2).alias("second"))
+    order = F.substring("prototype", 2, 9).cast("long")
+    return classify.decide(scores, "vec_id", order, config.Thresholds(), ("T7", "T8", "T9", "T10")).drop("margin")
 
 
 def _dated(spark, sf):
@@ -450,29 +465,71 @@ def _packages(spark, sf):
 
 def _claims(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    return c.select(F.col("conv_id").cast("string").alias("group_id"), F.col("turn").alias("pos"), "text", F.when(F.col("turn") % 5 == 0, "rumor").otherwise("hecho").alias("kind"), F.concat(F.lit("E"), F.when(F.col("turn") == 3, 9).otherwise(F.col("turn") - 1)).alias("id_evidence"), F.when(F.col("conv_id") % 6 == 0, "vacio").when(F.col("conv_id") % 6 == 1, "otro").otherwise("texto").alias("field"))
+    kinds = F.array(*(F.lit(k) for k in ("hecho", "rumor", "declaracion", "inferencia", "hipotesis", "dato", "hecho")))
+    return c.select(F.col("conv_id").cast("string").alias("group_id"), F.col("turn").alias("pos"), "text", F.element_at(kinds, (F.col("conv_id") + F.col("turn")).cast("int") % 7 + 1).alias("kind"), F.concat(F.lit("E"), F.when(F.col("turn") == 3, 9).otherwise(F.col("turn") - 1)).alias("id_evidence"), F.when(F.col("conv_id") % 6 == 0, "vacio").when(F.col("conv_id") % 6 == 1, "otro").otherwise("texto").alias("field"), (F.col("conv_id") % 13 != 5).alias("sound"))
 
 
-@query()
+VALIDATED = r"""e AS (SELECT conv_id, 'E' || turn AS ev, text FROM conversations WHERE role = 'user'),
+c AS (SELECT conv_id, turn, text, ['hecho', 'rumor', 'declaracion', 'inferencia', 'hipotesis', 'dato', 'hecho'][(conv_id + turn) % 7 + 1] AS kind, 'E' || CASE WHEN turn = 3 THEN 9 ELSE turn - 1 END AS ev, CASE conv_id % 6 WHEN 0 THEN 'vacio' WHEN 1 THEN 'otro' ELSE 'texto' END AS field FROM conversations WHERE role = 'assistant'),
+words AS (SELECT conv_id, list(strip_accents(lower(w))) AS known FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM e) GROUP BY conv_id),
+numbers AS (SELECT c.conv_id, c.turn, e.ev IS NOT NULL AS there, bool_or(n.bad) AS bad FROM c LEFT JOIN e ON e.conv_id = c.conv_id AND e.ev = c.ev LEFT JOIN LATERAL (SELECT NOT EXISTS (SELECT 1 FROM unnest(regexp_extract_all(e.text, '\d+(?:[.,]\d+)?')) u(v) WHERE round_even(CAST(replace(v, ',', '.') AS DOUBLE), CAST(CASE WHEN contains(replace(t, ',', '.'), '.') THEN length(split_part(replace(t, ',', '.'), '.', 2)) ELSE 0 END AS INT)) = CAST(replace(t, ',', '.') AS DOUBLE) OR (regexp_matches(t, '[.,]') AND round_even(CAST(replace(v, ',', '.') AS DOUBLE), 0) = CAST(regexp_replace(t, '[.,]', '', 'g') AS DOUBLE))) AS bad FROM unnest(regexp_extract_all(c.text, '\d+(?:[.,]\d+)?')) x(t)) n ON true GROUP BY ALL),
+names AS (SELECT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(regexp_extract_all(regexp_replace(sentence, '^[^\p{L}\p{N}_]*[\p{L}\p{N}_]+', ''), '[\p{L}\p{N}_]+')) AS w FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM c)) WHERE regexp_full_match(w, '[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{3,}|[A-ZÁÉÍÓÚÑ]{3,}') AND strip_accents(lower(w)) NOT IN ('panama', 'segun', 'banco', 'mundial', 'world', 'bank')),
+invented AS (SELECT n.conv_id, n.turn FROM names n LEFT JOIN words k USING (conv_id) WHERE NOT coalesce(list_contains(k.known, strip_accents(lower(n.w))), false) GROUP BY ALL),
+v AS (SELECT CAST(c.conv_id AS VARCHAR) AS group_id, c.turn AS pos, c.text, c.ev, CASE WHEN c.conv_id % 13 = 5 THEN 'afirmacion_invalida' WHEN trim(coalesce(c.text, '')) = '' THEN 'texto_vacio' WHEN c.kind NOT IN ('hecho', 'declaracion', 'inferencia', 'hipotesis') THEN 'tipo_invalido' WHEN NOT n.there THEN 'evidencia_inexistente' WHEN c.field = 'otro' THEN 'campo_inexistente' WHEN c.field = 'vacio' THEN 'campo_nulo' WHEN coalesce(n.bad, false) THEN 'cifra_no_sustentada' WHEN i.conv_id IS NOT NULL THEN 'entidad_no_sustentada' END AS reason FROM c JOIN numbers n ON n.conv_id = c.conv_id AND n.turn = c.turn LEFT JOIN invented i ON i.conv_id = c.conv_id AND i.turn = c.turn)"""
+
+
+@query(f"WITH {VALIDATED} SELECT group_id, pos, reason FROM v")
 def claim_validate(spark, sf):
     return grounding.validate_claims(_claims(spark, sf), _packages(spark, sf)).select("group_id", "pos", "reason")
 
 
-@query("SELECT o_orderkey, abs(round(o_totalprice, 1) - o_totalprice) <= 0.05 + 1e-9 AS supported FROM orders")
+def _eighths(spark, sf):
+    """Eighths, which are exact in binary, against their decimals cut or raised by one."""
+    v = F.col("o_orderkey") / 8
+    rows = table(spark, sf, "orders").select("o_orderkey", v.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("d")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+    units = F.floor(F.col("v") * F.pow(F.lit(10.0), "d")).cast("long") + F.col("up")
+    ten = F.pow(F.lit(10.0), "d").cast("long")
+    part = F.lpad((units % ten).cast("string"), 2, "0")
+    token = F.concat(F.floor(units / ten).cast("string"), F.when(F.col("d") == 0, "").otherwise(F.concat(F.lit(","), F.right(part, F.col("d")))))
+    return rows.select("o_orderkey", "d", "up", "v", token.alias("token"))
+
+
+@query("WITH r AS (SELECT o_orderkey, d, up, o_orderkey / 8.0::DOUBLE AS v FROM orders, range(3) a(d), range(2) b(up)) SELECT o_orderkey, CAST(d AS INT) AS d, CAST(up AS INT) AS up, abs(round_even(v, CAST(d AS INT)) - (floor(v * pow(10, d)) + up) / pow(10, d)) < 1e-9 OR (d > 0 AND round_even(v, 0) = floor(v * pow(10, d)) + up) AS supported FROM r")
 def claim_validate_numbers(spark, sf):
-    values = F.array("o_totalprice")
-    token = F.format_string("%.1f", F.round("o_totalprice", 1))
-    return table(spark, sf, "orders").select("o_orderkey", grounding.number_supported(token, values).alias("supported"))
+    return _eighths(spark, sf).select("o_orderkey", "d", "up", grounding.number_supported(F.col("token"), F.array("v")).alias("supported"))
 
 
-@query()
+def _declared(spark, sf):
+    k = F.col("group_id").cast("long") % 4
+    groups_ = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("group_id")).distinct()
+    return groups_.withColumn("declared", F.when(k == 3, "contradiccion").when(k == 2, "abstencion").otherwise("respuesta"))
+
+
+@query(f"WITH {VALIDATED}, g AS (SELECT DISTINCT conv_id FROM conversations), d AS (SELECT group_id, count(*) AS n, count_if(reason IS NULL) AS kept, string_agg(text || ' [' || ev || ']', ' ' ORDER BY pos) FILTER (reason IS NULL) AS draft FROM v GROUP BY group_id) SELECT CAST(g.conv_id AS VARCHAR) AS group_id, CASE WHEN g.conv_id % 4 = 3 THEN 'contradiccion' WHEN g.conv_id % 4 = 2 OR coalesce(kept, 0) = 0 THEN 'abstencion' ELSE 'respuesta' END AS response_type, coalesce(kept / n, 0.0) AS coverage, coalesce(draft, '') AS draft FROM g LEFT JOIN d ON d.group_id = CAST(g.conv_id AS VARCHAR)")
 def drafts(spark, sf):
-    return grounding.drafts(grounding.validate_claims(_claims(spark, sf), _packages(spark, sf)))
+    return grounding.drafts(grounding.validate_claims(_claims(spark, sf), _packages(spark, sf)), _declared(spark, sf))
+
+
+def _answers(spark, sf):
+    """Made answers of a model: sound ones, odd claims, wrong shapes and no JSON."""
+    c = table(spark, sf, "conversations").where("role = 'assistant' and text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    claim = lambda x: F.to_json(F.struct(x["text"].alias("texto"), F.lit("hecho").alias("tipo"), F.concat(F.lit("E"), x["turn"]).alias("id_evidencia"), F.lit("texto").alias("campo")))
+    told = F.array_join(F.transform("t", lambda x: F.when(x["turn"] == 3, '"suelta"').otherwise(claim(x))), ",")
+    k = F.col("conv_id") % 5
+    whole = lambda kind: F.concat(F.lit(f'{{"tipo_respuesta":"{kind}","versiones":["a",1],"vacios":"x","afirmaciones":['), told, F.lit("]}"))
+    return c.select(F.col("conv_id").cast("string").alias("group_id"), F.when(k == 0, whole("respuesta")).when(k == 1, whole("contradiccion")).when(k == 2, whole("rumor")).when(k == 3, F.lit('{"tipo_respuesta":"respuesta","afirmaciones":{}}')).otherwise("no es JSON").alias("answer"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS group_id, count(*) AS n_evidence, 'solo_medios' AS scope FROM conversations WHERE role = 'user' GROUP BY conv_id")
+@query("WITH c AS (SELECT conv_id, count(*) AS n, count_if(turn <> 3) AS sound FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id) SELECT CAST(conv_id AS VARCHAR) AS group_id, conv_id % 5 < 2 AS valid, CASE conv_id % 5 WHEN 0 THEN 'respuesta' WHEN 1 THEN 'contradiccion' ELSE 'abstencion' END AS declared, CASE WHEN conv_id % 5 < 2 THEN 'a,1' ELSE '' END AS versions, CAST(CASE WHEN conv_id % 5 < 2 THEN n ELSE 0 END AS INT) AS n_claims, CAST(CASE WHEN conv_id % 5 < 2 THEN sound ELSE 0 END AS INT) AS n_sound, 0 AS n_gaps FROM c")
+def model_answers(spark, sf):
+    found = grounding.parse_answers(_answers(spark, sf))
+    return found.select("group_id", "valid", "declared", F.array_join("versions", ",").alias("versions"), F.size("claims").alias("n_claims"), F.size(F.filter("claims", lambda c: c["sound"])).alias("n_sound"), F.size("gaps").alias("n_gaps"))
+
+
+@query("WITH g AS (SELECT DISTINCT conv_id FROM conversations), e AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' AND conv_id % 7 <> 2 GROUP BY conv_id) SELECT CAST(g.conv_id AS VARCHAR) AS group_id, coalesce(n, 0) AS n_evidence, 'basado únicamente en titular/metadatos' AS scope, n IS NULL AS abstains, CASE WHEN n IS NULL THEN 'sin_evidencia' END AS reason, CASE WHEN n IS NULL THEN 'No hay evidencia citable para este grupo.' END AS gap FROM g LEFT JOIN e USING (conv_id)")
 def package_scope(spark, sf):
-    return evidence.scope(_packages(spark, sf))
+    groups_ = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("group_id")).distinct()
+    return evidence.scope(groups_, _packages(spark, sf).where("cast(group_id as long) % 7 <> 2"))
 
 
 def _cited(spark, sf):
@@ -482,32 +539,63 @@ def _cited(spark, sf):
 
 def _questions(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'user' and turn = 0")
-    return c.select(F.col("conv_id").alias("question_id"), F.col("conv_id").alias("group_id"), F.left("text", F.lit(60)).alias("question"))
+    return c.select(F.col("conv_id").alias("question_id"), F.col("conv_id").alias("group_id"), F.col("text").alias("question"))
 
 
-TERMS = "list_distinct(list_filter(regexp_extract_all(translate(lower({}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[a-z0-9]+'), lambda w: length(w) > 2))"
+TERMS = "list_distinct(list_filter(regexp_extract_all(strip_accents(lower({})), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in config.STOP_WORDS) + ")))"
 
 
-@query(f"WITH q AS (SELECT conv_id AS question_id, unnest({TERMS.format('left(text, 60)')}) AS term FROM conversations WHERE role = 'user' AND turn = 0), c AS (SELECT conv_id, turn, text, unnest({TERMS.format('text')}) AS term FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3), b AS (SELECT question_id, min(turn) AS turn FROM q JOIN c ON c.conv_id = q.question_id AND c.term = q.term GROUP BY question_id) SELECT u.conv_id AS question_id, a.text AS answer, b.turn IS NULL AS abstained FROM conversations u LEFT JOIN b ON b.question_id = u.conv_id LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = b.turn WHERE u.role = 'user' AND u.turn = 0")
+@query(f"WITH q AS (SELECT conv_id AS question_id, unnest({TERMS.format('text')}) AS term FROM conversations WHERE role = 'user' AND turn = 0), c AS (SELECT conv_id, turn, text, unnest({TERMS.format('text')}) AS term FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3), b AS (SELECT question_id, min(turn) AS turn FROM q JOIN c ON c.conv_id = q.question_id AND c.term = q.term GROUP BY question_id) SELECT u.conv_id AS question_id, a.text AS answer, b.turn IS NULL AS abstained FROM conversations u LEFT JOIN b ON b.question_id = u.conv_id LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = b.turn WHERE u.role = 'user' AND u.turn = 0")
 def qa_extract(spark, sf):
     return qa.extractive(_questions(spark, sf), _cited(spark, sf)).select("question_id", "answer", "abstained")
 
 
-@query("SELECT conv_id AS group_id, CAST(count(*) AS INT) AS n_citations FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3 GROUP BY conv_id HAVING count(*) >= 2")
+def _kinds(spark, sf):
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id"), F.when(F.col("conv_id") % 3 == 0, "contradiccion").otherwise("respuesta").alias("response_type")).distinct()
+
+
+VERSIONS = f"SELECT conv_id AS group_id, string_agg('- ' || text || ' [E' || turn || ']', chr(10) ORDER BY turn) || chr(10) || '{config.PENDING_REVIEW}' AS answer, string_agg('E' || turn, ',' ORDER BY turn) AS citations FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3 AND conv_id % 3 = 0 GROUP BY conv_id HAVING count(*) >= 2"
+
+
+@query(VERSIONS)
 def qa_contradictions(spark, sf):
-    return qa.contradictions(_cited(spark, sf)).select("group_id", F.size("citations").alias("n_citations"))
+    return qa.contradictions(_cited(spark, sf).where("group_id % 3 = 0")).select("group_id", "answer", F.array_join("citations", ",").alias("citations"))
 
 
-@query()
+ASKED = f"WITH q AS (SELECT conv_id AS question_id, unnest({TERMS.format('text')}) AS term FROM conversations WHERE role = 'user' AND turn = 0), c AS (SELECT conv_id, turn, text, unnest({TERMS.format('text')}) AS term FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3), b AS (SELECT question_id, min(turn) AS turn FROM q JOIN c ON c.conv_id = q.question_id AND c.term = q.term GROUP BY question_id), x AS ({VERSIONS}), asked AS (SELECT u.conv_id AS question_id, coalesce(x.answer, a.text, '{config.NO_ANSWER}') AS answer, x.answer IS NULL AND b.turn IS NULL AS abstained, coalesce(x.citations, 'E' || b.turn, '') AS citations, x.answer IS NOT NULL AS contradiction FROM conversations u LEFT JOIN b ON b.question_id = u.conv_id LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = b.turn LEFT JOIN x ON x.group_id = u.conv_id WHERE u.role = 'user' AND u.turn = 0)"
+
+
+@query(ASKED + " SELECT * FROM asked")
+def qa_ask(spark, sf):
+    found = qa.ask(_questions(spark, sf), _cited(spark, sf), _kinds(spark, sf))
+    return found.select("question_id", "answer", "abstained", F.array_join("citations", ",").alias("citations"), "contradiction")
+
+
+STOPS = ", ".join(f"'{w}'" for w in config.STOP_WORDS)
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, list_filter(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda w, i: {{'w': w, 'i': i, 'terms': list_filter(regexp_extract_all(strip_accents(lower(w)), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({STOPS}))}}), lambda x: length(x.w) >= 5 AND NOT regexp_full_match(x.w, '\\p{{Nd}}+') AND len(x.terms) > 0) AS words FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3),
+r AS (SELECT g, 0::BIGINT AS k, []::VARCHAR[] AS used, []::VARCHAR[] AS out FROM (SELECT DISTINCT g FROM c)
+ UNION ALL SELECT g, k, CASE WHEN best IS NULL THEN used ELSE list_concat(used, best.terms) END, CASE WHEN best IS NULL THEN out ELSE list_append(out, best.w) END FROM (SELECT r.g, c.k, r.used, r.out, CASE WHEN len(r.out) < 3 THEN list_max(list_transform(list_filter(c.words, lambda x: NOT list_contains(r.used, x.terms[1])), lambda x: {{'n': length(x.w), 'at': -x.i, 'w': x.w, 'terms': x.terms}})) END AS best FROM r JOIN c ON c.g = r.g AND c.k = r.k + 1)),
+last AS (SELECT g, out FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1)
+SELECT g AS group_id, CAST(generate_subscripts(out, 1) AS INT) AS rank, '¿Qué dice la ficha sobre ' || unnest(out) || '?' AS question FROM last""")
 def qa_suggestions(spark, sf):
     return qa.suggestions(_cited(spark, sf))
 
 
-@query()
+def _benchmark(spark, sf):
+    """Expected answers; a third of the questions are synthetic and go to made claims."""
+    k = F.col("question_id") % 6
+    kind = F.when(k < 2, "contradiccion").when(k == 5, "abstencion").otherwise("respuesta")
+    required = F.when(k == 5, F.array().cast("array<string>")).otherwise(F.array(F.lit("E1"), F.lit("E5")))
+    return _questions(spark, sf).select("question_id", "group_id", "question", kind.alias("expected_type"), required.alias("required"), (F.col("question_id") % 3 == 1).alias("synthetic"))
+
+
+@query(ASKED + ", w AS (SELECT question_id, CASE WHEN question_id % 6 < 2 THEN 'contradiccion' WHEN question_id % 6 = 5 THEN 'abstencion' ELSE 'respuesta' END AS expected_type, question_id % 6 <> 5 AS asks, answer, CASE WHEN question_id % 3 = 1 THEN false ELSE abstained END AS abstained, CASE WHEN question_id % 3 = 1 THEN 'E1' ELSE citations END AS citations, contradiction FROM asked), t AS (SELECT *, CASE WHEN contradiction THEN 'contradiccion' WHEN abstained THEN 'abstencion' ELSE 'respuesta' END AS kind FROM w) SELECT question_id, expected_type, kind = expected_type AS type_ok, CASE WHEN asks THEN len(list_intersect(['E1', 'E5'], string_split(citations, ','))) / 2 END AS recall, CASE WHEN kind = 'abstencion' THEN citations = '' END AS clean_abstention FROM t")
 def qa_benchmark(spark, sf):
-    answers = qa.extractive(_questions(spark, sf), _cited(spark, sf))
-    wanted = _questions(spark, sf).select("question_id", F.lit("respuesta").alias("expected_type"), F.array(F.lit("E1"), F.lit("E3")).alias("required"))
-    return qa.score_benchmark(answers, wanted)
+    rows = _benchmark(spark, sf)
+    made = rows.where("synthetic").select("group_id", F.lit(1).alias("pos"), F.col("question").alias("claim"), F.array(F.lit("E1")).alias("citations"))
+    return qa.run_benchmark(rows, (_cited(spark, sf), _kinds(spark, sf)), (made, rows.select("group_id", F.lit("respuesta").alias("response_type"))))
 
 
 # --- evaluation and work log ------------------------------------------------------
@@ -699,9 +787,9 @@ def precision_at_5(spark, sf):
     return evaluate.precision_at(marks, top, "c_custkey", 5)
 
 
-@query("WITH g AS (SELECT user_id AS group_id, count(*) AS n_items FROM events WHERE event_id % 50 = 0 GROUP BY user_id) SELECT * FROM (SELECT group_id, n_items, 'grandes' AS sample FROM g WHERE n_items >= 2 ORDER BY n_items DESC, group_id LIMIT 10) UNION ALL SELECT * FROM (SELECT group_id, n_items, 'singulares' AS sample FROM g WHERE n_items = 1 ORDER BY group_id LIMIT 5)")
+@query("WITH g AS (SELECT n_chars AS group_id, count(*) AS n_items FROM documents GROUP BY n_chars) SELECT * FROM (SELECT group_id, n_items, 'grandes' AS sample FROM g WHERE n_items >= 2 ORDER BY n_items DESC, group_id LIMIT 10) UNION ALL SELECT * FROM (SELECT group_id, n_items, 'singulares' AS sample FROM g WHERE n_items = 1 ORDER BY group_id LIMIT 5)")
 def group_samples(spark, sf):
-    return review.size_samples(table(spark, sf, "events").where("event_id % 50 = 0").groupBy(F.col("user_id").alias("group_id")).agg(F.count("*").alias("n_items")))
+    return review.size_samples(table(spark, sf, "documents").groupBy(F.col("n_chars").alias("group_id")).agg(F.count("*").alias("n_items")))
 
 
 def _made_search():

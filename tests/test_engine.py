@@ -23,8 +23,13 @@ def test_urls(spark):
         d=text.domain(F.lit("https://WWW.Prensa.com:80/x")),
         e=text.title_from_slug(F.lit("https://x.com/a/lluvias-en_panama_1_22.html")),
         f=text.valid_url(F.lit("nota-sin-esquema")),
-        g=text.normalize_url(F.lit("http://a.b/x?gclid=1"), config.TRACKING_LOADER, "//"),
+        g=text.normalize_url(F.lit("http://a.b/x?gclid=1"), config.TRACKING_LOADER, loader=True),
+        h=text.normalize_url(F.lit("https://WWW.TVN-2.com/")),
+        i=text.normalize_url(F.lit("https://x.com/?id=5")),
+        j=text.normalize_url(F.lit("https://x.com/"), config.TRACKING_LOADER, loader=True),
+        k=text.normalize_url(F.lit(None).cast("string"), config.TRACKING_LOADER, loader=True),
     )
+    assert (row["h"], row["i"], row["j"], row["k"]) == ("tvn-2.com/", "x.com/?id=5", "//x.com", "")
     assert row["a"] == row["b"] == "tvn-2.com/nota?id=5"
     assert row["c"] == "N-099c59f09535"
     assert (row["d"], row["e"], row["f"], row["g"]) == ("prensa.com:80", "Lluvias en panama", False, "//a.b/x?gclid=1")
@@ -143,22 +148,46 @@ def test_validation(spark):
 def test_claims(spark):
     package = spark.createDataFrame([("g", "I1", "indicador", {"valor": "2.9123", "anio": "2024", "nada": None}), ("g", "N1", "noticia", {"titulo": "Visita a Panamá y Colón"})], "group_id string, id_evidence string, kind string, fields map<string,string>")
     rows = [
-        (1, "La inflación fue 2,9 en 2024", "dato", "I1", "valor", None),
-        (2, "La inflación fue 3,1", "dato", "I1", "valor", "cifra_no_sustentada"),
-        (3, " ", "dato", "I1", "valor", "texto_vacio"),
+        (1, "La inflación fue 2,9 en 2024", "hecho", "I1", "valor", None),
+        (2, "La inflación fue 3,1", "declaracion", "I1", "valor", "cifra_no_sustentada"),
+        (3, " ", "hecho", "I1", "valor", "texto_vacio"),
         (4, "x", "rumor", "I1", "valor", "tipo_invalido"),
-        (5, "x", "dato", None, "valor", "sin_cita"),
-        (6, "x", "dato", "I9", "valor", "evidencia_inexistente"),
-        (7, "x", "dato", "I1", "otro", "campo_inexistente"),
-        (8, "x", "dato", "I1", "nada", "campo_nulo"),
+        (5, "x", "inferencia", None, "valor", "sin_cita"),
+        (6, "x", "hipotesis", "I9", "valor", "evidencia_inexistente"),
+        (7, "x", "hecho", "I1", "otro", "campo_inexistente"),
+        (8, "x", "hecho", "I1", "nada", "campo_nulo"),
         (9, "La visita llegó a Bogotá", "hecho", "N1", "titulo", "entidad_no_sustentada"),
         (10, "La visita llegó a Colón", "hecho", "N1", "titulo", None),
+        (11, "x", "dato", "I1", "valor", "tipo_invalido"),
+        (12, "Según el Banco Mundial fue 3", "hecho", "I1", "valor", None),
+        (13, "Fue 2,92", "hecho", "I1", "valor", "cifra_no_sustentada"),
+        (14, "Fue 2.024", "hecho", "I1", "valor", None),
     ]
-    claims = spark.createDataFrame([("g", *r[:5]) for r in rows], "group_id string, pos int, text string, kind string, id_evidence string, field string")
+    claims = spark.createDataFrame([("g", *r[:5], True) for r in rows] + [("g", 15, "Fue 3", "hecho", "I1", "valor", False)], "group_id string, pos int, text string, kind string, id_evidence string, field string, sound boolean")
     checked = grounding.validate_claims(claims, package)
-    assert {r["pos"]: r["reason"] for r in checked.collect()} == {r[0]: r[5] for r in rows}
-    draft = grounding.drafts(checked).first()
-    assert (draft["response_type"], draft["coverage"]) == ("respuesta", 0.2)
+    assert {r["pos"]: r["reason"] for r in checked.collect()} == {r[0]: r[5] for r in rows} | {15: "afirmacion_invalida"}
+    declared = spark.createDataFrame([("g", "respuesta"), ("h", "respuesta"), ("i", "contradiccion")], "group_id string, declared string")
+    got = {r["group_id"]: (r["response_type"], round(r["coverage"], 3)) for r in grounding.drafts(checked, declared).collect()}
+    assert got == {"g": ("respuesta", round(4 / 15, 3)), "h": ("abstencion", 0.0), "i": ("contradiccion", 0.0)}
+
+
+def test_rounding_is_half_to_even(spark):
+    cases = [("2", 2.5, True), ("3", 2.5, False), ("4", 3.5, True), ("2,5", 2.45, False), ("2,4", 2.45, True), ("0,12", 0.125, True), ("0,13", 0.125, False), ("1.400", 1.4, True), ("1.400", 1400.0, True), ("1,400", 1400.4, True), ("1,400", 1401.0, False)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, token string, v double, want boolean")
+    got = df.select("i", "want", grounding.number_supported(F.col("token"), F.array("v")).alias("got")).collect()
+    assert [r["i"] for r in got if r["got"] != r["want"]] == []
+
+
+def test_review_states(spark):
+    rows = spark.createDataFrame([("a", "nuevo", "table"), ("b", "descartado", "table"), ("c", "requiere evidencia", "lines"), ("d", "en revisión", "table")], "group_id string, review_state string, source string")
+    assert {r["group_id"] for r in grounding.pending(rows.select("group_id"), rows).collect()} == {"a", "c"}
+    assert grounding.pending(rows.select("group_id"), rows, force=True).count() == 4
+    asked = spark.createDataFrame([("a", "aprobado como borrador"), ("c", "descartado"), ("z", "nuevo")], "group_id string, new_state string")
+    after, changed = grounding.set_review_state(rows, asked, "group_id")
+    assert {r["group_id"]: r["review_state"] for r in after.collect()} == {"a": "aprobado como borrador", "b": "descartado", "c": "requiere evidencia", "d": "en revisión"}
+    assert [r["group_id"] for r in changed.collect()] == ["a"]
+    with pytest.raises(Exception, match="unknown review state"):
+        grounding.set_review_state(rows, asked.withColumn("new_state", F.lit("borrador")), "group_id")[0].collect()
 
 
 def test_generation_survives_a_failing_model(spark):
@@ -182,7 +211,17 @@ def test_questions(spark):
     got = {r["question_id"]: (r["answer"], r["abstained"]) for r in qa.extractive(asked, claims).collect()}
     assert got == {1: ("El canal abrió el lunes", False), 2: (None, True)}
     assert qa.contradictions(claims).first()["citations"] == ["N1", "N2"]
-    assert [r["question"] for r in qa.suggestions(claims).orderBy("rank").collect()] == ["¿Qué dice la ficha sobre abrio?", "¿Qué dice la ficha sobre cambio?"]
+    assert qa.contradictions(claims).first()["answer"] == "- El canal abrió el lunes [N1]\n- La ruta cambió [N2, N1]\nRevisión pendiente: las fuentes no coinciden; no se elige una versión. Una persona debe revisarlas."
+    assert [r["question"] for r in qa.suggestions(claims).orderBy("rank").collect()] == ["¿Qué dice la ficha sobre canal?", "¿Qué dice la ficha sobre cambió?"]
+    closed = spark.createDataFrame([("g", 0, "El aeropuerto cerrado", ["N1"]), ("g", 1, "Aeropuerto cerrado ayer", ["N1"]), ("g", 2, "aeropuerto 20262026", ["N1"])], "group_id string, pos int, claim string, citations array<string>")
+    assert [r["question"] for r in qa.suggestions(closed).orderBy("rank").collect()] == ["¿Qué dice la ficha sobre aeropuerto?", "¿Qué dice la ficha sobre cerrado?"]
+    for kind, want in (("contradiccion", (True, ["N1", "N2"])), ("respuesta", (False, ["N1"]))):
+        drafts = spark.createDataFrame([("g", kind)], "group_id string, response_type string")
+        got = {r["question_id"]: r for r in qa.ask(asked, claims, drafts).collect()}
+        assert (got[1]["contradiction"], got[1]["citations"]) == want
+    assert got[2]["abstained"] and got[2]["answer"] == config.NO_ANSWER
+    none = spark.createDataFrame([("x", "respuesta")], "group_id string, response_type string")
+    assert all(r["abstained"] for r in qa.ask(asked, claims, none).collect())
 
 
 def test_metrics(spark):
