@@ -116,5 +116,5 @@ def query_terms(text: Column, stop: tuple[str, ...] = config.STOP_WORDS) -> Colu
 
 def neutralize(text: Column, marks: tuple[str, str] = ("<<<", ">>>"), limit: int = 400) -> Column:
     """Prompt-safe text: delimiters broken up, long texts cut with an ellipsis."""
-    safe = F.replace(F.replace(text, F.lit(marks[0]), F.lit("‹")), F.lit(marks[1]), F.lit("›"))
+    safe = F.replace(F.replace(text, F.lit(marks[0]), F.lit("‹‹‹")), F.lit(marks[1]), F.lit("›››"))
     return F.when(F.length(safe) > limit, F.concat(F.left(safe, F.lit(limit)), F.lit("…"))).otherwise(safe)

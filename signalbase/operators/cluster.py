@@ -6,43 +6,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, vectors
 
 
+BLOCK = 1024
+
+
 def banded_pairs(items: DataFrame, key: str, day: str, vector: str, window: float, least: float) -> DataFrame:
     """(a, b, similarity) of items within ``window`` days whose cosine is ``least`` or more.
 
-    Days are cut into buckets as wide as the window; an item meets its own and the
-    next bucket, by an equi-join, so no pair is formed outside the band.
+    Days are cut into buckets as wide as the window, and buckets by a hash into blocks of
+    about ``BLOCK`` items. A block meets the blocks of its own and the next bucket; each
+    meeting is one matrix product, so however many items a day holds, a task holds two
+    blocks. Items without a day or a vector are in no pair.
     """
-    bucket = F.floor(F.col(day) / window).cast("long")
-    left = items.select(F.col(key).alias("a"), F.col(day).alias("da"), F.col(vector).alias("va"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"), bucket.alias("home"))
-    right = items.select(F.col(key).alias("b"), F.col(day).alias("db"), F.col(vector).alias("vb"), bucket.alias("bucket"))
-    near = left.join(right, "bucket").where((F.abs(F.col("da") - F.col("db")) <= window) & ((F.col("home") < F.col("bucket")) | (F.col("a") < F.col("b"))))
-    scored = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), vectors.dot(F.col("va"), F.col("vb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
+    kind = dict(items.dtypes)[key]
+    rows = items.select(F.col(key).alias("k"), F.col(day).alias("d"), F.col(vector).alias("v")).where("k is not null and d is not null and v is not null")
+    rows = rows.withColumn("bucket", F.floor(F.col("d") / window).cast("long"))
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    placed = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))).drop("blocks")
+    here = blocks.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
+    same = here.select("bucket", "block", F.col("bucket").alias("to_bucket"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to"))
+    after = blocks.select((F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("after"))
+    later = here.join(after, "bucket").select("bucket", "block", (F.col("bucket") + 1).alias("to_bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("after") - 1)).alias("to"))
+    meet = same.union(later)
+    names = ("bucket", "block", "to_bucket", "to")
+    left = meet.join(placed, ["bucket", "block"]).select(*names, F.lit(0).alias("side"), "k", "d", "v")
+    other = placed.select(F.col("bucket").alias("to_bucket"), F.col("block").alias("to"), "k", "d", "v")
+    right = meet.where("bucket <> to_bucket or block <> to").join(other, ["to_bucket", "to"]).select(*names, F.lit(1).alias("side"), "k", "d", "v")
+
+    def product(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side, days = np.asarray(group["side"]), np.asarray(group["d"]).astype(float)
+        x = np.asarray(pc.list_flatten(group["v"])).astype(float).reshape(group.num_rows, -1)
+        i = np.flatnonzero(side == 0)
+        j = np.flatnonzero(side == 1)
+        alone = not len(j)
+        j = i if alone else j
+        similar = x[i] @ x[j].T
+        hit = (similar >= least) & (np.abs(days[i][:, None] - days[j][None, :]) <= window)
+        if alone:
+            hit = np.triu(hit, 1)
+        p, q = np.nonzero(hit)
+        return pa.table({"p": group["k"].take(pa.array(i[p])), "q": group["k"].take(pa.array(j[q])), "similarity": pa.array(similar[p, q])})
+
+    found = left.union(right).groupBy(*names).applyInArrow(product, f"p {kind}, q {kind}, similarity double")
+    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a batch as stars around their components' smallest nodes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        both = pa.concat_arrays([batch.column(0), batch.column(1)])
+        order = pc.array_sort_indices(pc.unique(both))
+        nodes = pc.unique(both).take(order)
+        ends = np.asarray(pc.index_in(both, nodes)).tolist()
+        head = list(range(len(nodes)))
+
+        def find(x: int) -> int:
+            while head[x] != x:
+                head[x] = head[head[x]]
+                x = head[x]
+            return x
+
+        for p, q in zip(ends[: batch.num_rows], ends[batch.num_rows :]):
+            p, q = find(p), find(q)
+            if p != q:
+                head[max(p, q)] = min(p, q)
+        root = np.array([find(x) for x in range(len(nodes))], np.int64)
+        out = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(out)), nodes.take(pa.array(root[out]))], ["u", "v"])
 
 
 def components(nodes: DataFrame, pairs: DataFrame, key: str, save) -> DataFrame:
     """(key, component): the least key reachable over pairs (a, b).
 
-    Labels move along edges and jump to their label's label, so rounds grow with the
-    logarithm of a chain. ``save(df)`` cuts lineage (checkpoint or written table).
+    Edges of a batch are contracted to stars first; then large-star and small-star steps
+    alternate, whose number grows with the logarithm of the graph's size, until every
+    edge leads from a node of one edge to a node that none leaves. ``save(df)`` cuts
+    lineage (checkpoint or written table).
     """
-    both = save(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = save(nodes.select(F.col(key).alias("a"), F.col(key).alias("c")))
+    kind = dict(nodes.dtypes)[key]
+    edges = save(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_contracted, f"u {kind}, v {kind}").distinct())
     while True:
-        heard = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        near = label.join(heard, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"))
-        hop = near.select(F.col("a").alias("c"), F.col("c").alias("d"))
-        after = save(near.join(hop, "c", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c")))
-        moved = after.join(label.withColumnRenamed("c", "old"), "a").where("c <> old")
-        if moved.isEmpty():
-            return after.select(F.col("a").alias(key), F.col("c").alias("component"))
-        label = after
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            break
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = save(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+    found = edges.select(F.col("u").alias(key), F.col("v").alias("_c"))
+    return nodes.select(key).join(found, key, "left").select(key, F.coalesce("_c", key).alias("component"))
 
 
 def average_link(similarity: np.ndarray, least: float) -> list[list[int]]:
@@ -117,14 +181,16 @@ def average_link_vectors(x: np.ndarray, least: float) -> list[list[int]]:
     return [sorted(c) for c, a in zip(members, alive) if a]
 
 
-def split_components(members: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+def split_components(members: DataFrame, key: str, vector: str, least: float, order: str | None = None) -> DataFrame:
     """(key, component, cluster) by average linkage inside each component, of any size.
 
-    Components beyond ``DENSE`` members go by summed vectors instead of a matrix.
+    Members go in ``order``, then by key. Components beyond ``DENSE`` members go by summed
+    vectors instead of a matrix.
     """
+    by = [order, key] if order else [key]
 
     def split(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        frame = groups.sort_values(key, ignore_index=True)
+        frame = groups.sort_values(by, ignore_index=True)
         x = np.array(frame[vector].tolist(), float)
         name = np.empty(len(frame), object)
         for cluster in average_link(x @ x.T, least) if len(x) <= DENSE else average_link_vectors(x, least):
@@ -132,25 +198,58 @@ def split_components(members: DataFrame, key: str, vector: str, least: float) ->
         return pd.DataFrame({key: frame[key], "component": frame["component"], "cluster": name})
 
     kind = dict(members.dtypes)[key]
-    return members.select(key, "component", vector).groupBy("component").applyInPandas(split, f"{key} {kind}, component {kind}, cluster {kind}")
+    return members.select(*dict.fromkeys((*by, "component", vector))).groupBy("component").applyInPandas(split, f"{key} {kind}, component {kind}, cluster {kind}")
 
 
 def cap_span(df: DataFrame, group: str, key: str, day: Column, span: float) -> DataFrame:
     """(group, key, part): groups cut, in time order, where a part would exceed ``span`` days.
 
-    The start of a part depends on earlier cuts, so it is a fold over the sorted days.
+    The start of a part depends on earlier cuts, so it is a fold over the sorted rows; it
+    streams, from one part's start to the next, and holds a batch, whatever the group.
     """
-    ordered = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(day.alias("d"), F.col(key).alias("k")))).alias("m"))
-    kind = dict(df.dtypes)[key]
-    state = F.struct(F.lit(0).alias("part"), F.lit(None).cast("double").alias("start"), F.array().cast(f"array<struct<part:int,k:{kind}>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        cut = s["start"].isNotNull() & (x["d"] - s["start"] > span)
-        part = s["part"] + cut.cast("int")
-        return F.struct(part.alias("part"), F.when(s["start"].isNull() | cut, x["d"]).otherwise(s["start"]).alias("start"), F.concat(s["out"], F.array(F.struct(part.alias("part"), x["k"].alias("k")))).alias("out"))
-
-    folded = ordered.select(group, F.aggregate("m", state, step)["out"].alias("out"))
-    return folded.select(group, F.inline("out")).select(group, F.col("k").alias(key), "part")
+    kinds = dict(df.dtypes)
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), day.cast("double").alias("d")).repartition("g").sortWithinPartitions("g", "d", "k")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, part, first = None, 0.0, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            code = np.asarray(pc.dictionary_encode(batch.column(0), null_encoding="encode").indices)
+            edges = np.flatnonzero(code[1:] != code[:-1]) + 1
+            days, parts = np.asarray(batch.column(2)), np.zeros(n, np.int32)
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n]):
+                name = batch.column(0)[a].as_py()
+                if first or name != last:
+                    last, start, part, first = name, days[a], 0, False
+                while a < b:
+                    late = a + int(np.searchsorted(days[a:b] - start, span, side="right"))
+                    parts[a:late] = part
+                    if late < b:
+                        start, part = days[late], part + 1
+                    a = late
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts)], [group, key, "part"])
+
+    return rows.mapInArrow(fold, f"{group} {kinds[group]}, {key} {kinds[key]}, part int")
+
+
+def group_events(items: DataFrame, key: str, day: str, vector: str, window: float, least: float, span: float, save) -> DataFrame:
+    """(key, group): items of like vectors and near days, no group longer than ``span`` days.
+
+    Pairs inside the window form components, components are split by average linkage, and
+    what is too long is cut in time order. A group is named by its least key.
+    """
+    pairs = save(banded_pairs(items, key, day, vector, window, least))
+    whole = components(items, pairs, key, save)
+    rows = items.select(key, day, vector).join(whole, key)
+    many = whole.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1").select("component")
+    split = split_components(rows.join(many, "component", "left_semi"), key, vector, least, day).select(key, "cluster")
+    alone = rows.join(many, "component", "left_anti").select(key, F.col(key).alias("cluster"))
+    clustered = split.unionByName(alone).join(items.select(key, day), key)
+    parts = cap_span(clustered, "cluster", key, F.col(day), span)
+    names = parts.groupBy("cluster", "part").agg(F.min(key).alias("group"))
+    return parts.join(names, ["cluster", "part"]).select(key, "group")
 
 
 def summarize(members: DataFrame, group: str, key: str, title: str, ts: str, source: str, vector: str) -> DataFrame:

@@ -24,10 +24,15 @@ def validate(df: DataFrame, row: str, key: str, mandatory: list[str], date_colum
 
 
 def keep_first(df: DataFrame, key: str, row: str) -> tuple[DataFrame, DataFrame]:
-    """(first row of each key, rejects for the others)."""
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(row)))
-    later = ranked.where("_n > 1").select(F.col(row).alias("row"), F.col(key).alias("id"), F.lit(key).alias("field"), F.lit("duplicado").alias("reason"))
-    return ranked.where("_n = 1").drop("_n"), later
+    """(first row of each key, rejects for the others); ``row`` tells rows apart.
+
+    Keys, which may be whole texts, go by a hash and are counted before the shuffle; rows
+    without a key are one key.
+    """
+    digest = F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit(""))
+    first = df.groupBy(digest.alias("_h")).agg(F.min(row).alias(row)).select(row)
+    later = df.join(first, row, "left_anti").select(F.col(row).alias("row"), F.col(key).alias("id"), F.lit(key).alias("field"), F.lit("duplicado").alias("reason"))
+    return df.join(first, row, "left_semi"), later
 
 
 def split_range(df: DataFrame, ts: Column, first: Column, end: Column, keep_null: bool) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +45,26 @@ def exclusion_reason(title: Column, valid: Column) -> Column:
     return F.when(F.trim(F.coalesce(title, F.lit(""))) == "", "sin_titulo").when(~valid, "url_invalida")
 
 
+def all_excluded(*parts: DataFrame) -> DataFrame:
+    """Rows left out for one reason or another, in one frame."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def counts(df: DataFrame, column: Column | str, name: str) -> DataFrame:
+    """(name, n): rows of each value, most first, of equals in order."""
+    value = F.col(column) if isinstance(column, str) else column
+    return df.groupBy(value.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name)
+
+
+def monthly(df: DataFrame, *times: str) -> DataFrame:
+    """(month, n) of rows by the first time that is there; rows without any are left out."""
+    at = F.coalesce(*(F.col(t) for t in times))
+    return df.where(at.isNotNull()).groupBy(dates.month_key(at).alias("month")).agg(F.count("*").alias("n")).orderBy("month")
+
+
+MOST_CELLS = 5_000_000
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """(column_name, n_rows, n_null) in one pass over all columns."""
     counts = df.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
@@ -61,8 +86,11 @@ def grid_completeness(df: DataFrame, dims: list[str], value: str) -> DataFrame:
 def complete_grid(values: DataFrame, members: list[DataFrame], keys: list[str], value: str) -> DataFrame:
     """Every combination of the members with its value, or null and a note.
 
-    The members are dimensions of declared, small size; values may be large.
+    The members are dimensions of declared, small size, ``MOST_CELLS`` in all at most;
+    values may be large.
     """
+    if reduce(lambda a, b: a * b, (m.count() for m in members), 1) > MOST_CELLS:
+        raise ValueError(f"a grid of more than {MOST_CELLS} cells")
     grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), members)
     return grid.join(values, keys, "left").withColumn("note", F.when(F.col(value).isNull(), "sin_dato"))
 

@@ -148,7 +148,7 @@ def keyword_scope(spark, sf):
     return news(spark, sf).select("id", score.impact(F.col("title"), RULES).alias("impact"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(s) > 400 THEN left(s, 400) || '…' ELSE s END AS safe FROM (SELECT conv_id, turn, replace(replace(text, '<<<', '‹'), '>>>', '›') AS s FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN length(s) > 400 THEN left(s, 400) || '…' ELSE s END AS safe FROM (SELECT conv_id, turn, replace(replace(text, '<<<', '‹‹‹'), '>>>', '›››') AS s FROM conversations)")
 def neutralized_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.neutralize(F.col("text")).alias("safe"))
 
