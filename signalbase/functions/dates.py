@@ -30,6 +30,11 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def stamp(ts: Column) -> Column:
+    """A compact stamp, as file names carry it."""
+    return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+
+
 def month_key(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit("sin-fecha"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,39 @@ def decide(scores: DataFrame, key: str, order: Column, limits: config.Thresholds
     return top.select(key, topic.alias("topic"), F.col("prototype1").alias("best"), F.col("score1").alias("score"), F.col("prototype2").alias("second"), margin.alias("margin"), F.when(abstain, F.col("prototype1")).alias("contrast"))
 
 
+def by_vectors(vectors_: DataFrame, key: str, topics: DataFrame, limits: config.Thresholds, contrast: tuple[str, ...] = ()) -> DataFrame:
+    """The dense classifier: vectors (key, vector) against topics (place, prototype, vector)."""
+    scores = dense_scores(vectors_, key, "vector", topics).join(F.broadcast(topics.select("prototype", "place")), "prototype")
+    return decide(scores, key, F.col("place"), limits, contrast)
+
+
+def by_terms(df: DataFrame, key: str, body: str, topics: DataFrame, limits: config.Thresholds, contrast: tuple[str, ...] = ()) -> DataFrame:
+    """The sparse classifier: texts against topics (place, prototype, text), with document
+    frequencies of both."""
+    named = df.select(F.concat(F.lit("i"), F.col(key).cast("string")).alias("_k"), F.col(key), F.col(body).alias("_t"))
+    protos = topics.select(F.concat(F.lit("p"), "prototype").alias("_k"), F.col("text").alias("_t"))
+    weights = tfidf(named.select("_k", "_t").unionByName(protos), "_k", "_t")
+    mine = weights.join(named.select("_k", key), "_k").select(key, "term", "weight")
+    theirs = weights.where(F.startswith("_k", F.lit("p"))).select(F.substring("_k", 2, 1 << 20).alias("prototype"), "term", "weight")
+    empty = topics.select("prototype").join(theirs.select("prototype").distinct(), "prototype", "left_anti").select("prototype", F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    scores = sparse_scores(mine, key, theirs.unionByName(empty), df).join(F.broadcast(topics.select("prototype", "place")), "prototype")
+    return decide(scores, key, F.col("place"), limits, contrast)
+
+
+def methods(**results: DataFrame) -> DataFrame:
+    """All methods' classifications in one frame, named by method."""
+    return reduce(DataFrame.unionByName, (df.withColumn("method", F.lit(name)) for name, df in results.items()))
+
+
+def group_topics(members: DataFrame, classified: DataFrame, method: str) -> DataFrame:
+    """(group_id, topic) by one method's majority; groups without any classified member too.
+
+    members: group_id, id. classified: id, topic, method.
+    """
+    mine = classified.where(F.col("method") == method).select("id", "topic")
+    return majority_topic(members.join(mine, "id", "left"), "group_id", "topic")
+
+
 def majority_topic(df: DataFrame, key: str, topic: str) -> DataFrame:
     """The most frequent topic of each key, the first in the alphabet of equals."""
     return df.groupBy(key).agg(F.mode(F.coalesce(F.col(topic), F.lit(config.OTHER)), True).alias("topic"))

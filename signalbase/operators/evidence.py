@@ -47,6 +47,31 @@ def package(news: DataFrame, indicators: DataFrame, events: DataFrame) -> DataFr
     return as_map(news, "noticia").unionByName(as_map(indicators, "indicador")).unionByName(as_map(events, "evento"))
 
 
+def gather(groups: DataFrame, members: DataFrame, news: DataFrame, indicators: DataFrame, events: DataFrame, rules: config.Rules = config.Rules(), limit: int = 10, country: str = "PAN") -> DataFrame:
+    """(group_id, id_evidence, kind, fields): all groups' evidence packages.
+
+    groups: group_id, topic, event_id. A group gets its ``limit`` members nearest to the
+    centroid, the latest value of each of the country's indicators whose id starts with a
+    prefix of its topic, and its verified event.
+    """
+    near = top_evidence(members.join(groups.select("group_id"), "group_id", "left_semi"), limit).select("group_id", "id")
+    told = near.join(news, "id").select("group_id", F.col("id").alias("id_evidence"), F.col("title").alias("titulo"), F.col("outlet").alias("medio"), "url", _time("published").alias("fecha_publicacion"), _time("detected").alias("fecha_deteccion"))
+    series = latest_per_key(indicators.where(F.col("country") == country), ["indicator"], "year", "value")
+    prefixes = [(topic, p) for topic, ps in rules.context_prefixes.items() for p in ps]
+    known = groups.sparkSession.createDataFrame(prefixes, "topic string, prefix string")  # a few rows of the rules
+    # an indicator's topics, once each, though two prefixes may fit it
+    fitting = series.join(F.broadcast(known), F.startswith("indicator", F.col("prefix"))).select("topic", "indicator").distinct()
+    figures = groups.select("group_id", "topic").join(fitting, "topic").join(series, "indicator")
+    figures = figures.select("group_id", "id_evidence", F.col("name").alias("indicador_nombre"), F.col("country").alias("pais_iso3"), F.col("year").alias("anio"), F.col("value").alias("valor"), F.col("unit").alias("unidad"), F.col("source_url").alias("fuente_url"))
+    linked = groups.where("event_id is not null").select("group_id", "event_id").join(events, "event_id")
+    quakes = linked.select("group_id", F.col("event_id").alias("id_evidence"), "magnitude", _time("time").alias("time"), "place", "url")
+    return package(told, figures, quakes)
+
+
+def _time(column: str):
+    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def scope(groups: DataFrame, packages: DataFrame) -> DataFrame:
     """Every group's scope and number of items; one without evidence abstains, with the
     reason and the gap that a draft states, before any model call."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import dates
+from . import grounding
 
 
 def _kind(path: str) -> str:
@@ -137,3 +138,35 @@ def resolve(groups: DataFrame, packages: DataFrame, answers: DataFrame, validate
         F.when(quiet, F.array().cast("array<struct<id_evidence:string,field:string>>")).otherwise(F.col("citations")).alias("citations"),
         F.when(quiet, config.STATE_UNSUPPORTED).otherwise(config.STATE_NEW).alias("review_state"),
     )
+
+
+def draft(groups: DataFrame, packages: DataFrame, client, save, injections: tuple[str, ...] = ()) -> DataFrame:
+    """Final drafts of groups (group_id, topic) by a model client, from evidence to text.
+
+    Groups without evidence never reach the model. ``save(df)`` keeps the model's answers,
+    so that no group is asked twice.
+    """
+    asked = grounding.prompts(packages.join(groups.select("group_id"), "group_id", "left_semi"), groups)
+    said = save(grounding.generate(asked, client))
+    parsed = grounding.parse_answers(said.select("group_id", "answer"))
+    checked = grounding.validate_claims(grounding.claims_of(parsed), packages)
+    obeyed = grounding.obeyed_injection(F.col("answer"), injections) if injections else F.lit(False)
+    answers = said.select("group_id", "answer", "error", obeyed.alias("obeyed")).join(parsed.drop("claims"), "group_id")
+    return resolve(groups, packages, answers, checked)
+
+
+def to_store(drafted: DataFrame) -> DataFrame:
+    """Drafts to keep: not those whose model call failed, which may be tried again."""
+    return drafted.where("reason is null or reason <> 'llm_error'")
+
+
+def on_demand(groups: DataFrame, states: DataFrame, group_id: str, packages: DataFrame, client, save) -> tuple[str, DataFrame]:
+    """(outcome, the draft to store) of one group: 'ya_revisada' without a draft if a person
+    has reviewed it, 'error_modelo' without one if the model failed, or 'generada'."""
+    mine = groups.where(F.col("group_id") == group_id)
+    wanted = grounding.pending(mine, states)
+    made = save(draft(wanted, packages, client, save))
+    kept = to_store(made)
+    if wanted.isEmpty():
+        return "ya_revisada", kept
+    return ("error_modelo" if kept.isEmpty() else "generada"), kept

@@ -126,11 +126,23 @@ def drafts(validated: DataFrame, declared: DataFrame) -> DataFrame:
     return all_.select("group_id", kind.alias("response_type"), F.coalesce(F.try_divide("n_kept", "n_claims"), F.lit(0.0)).alias("coverage"), F.coalesce(body, F.lit("")).alias("draft"))
 
 
-def prompts(packages: DataFrame, limit: int = 400) -> DataFrame:
-    """(group_id, prompt): neutralised evidence between delimiters, in id order."""
-    item = F.concat(F.lit("<<<"), F.col("id_evidence"), F.lit(" "), text.neutralize(F.to_json("fields"), limit=limit), F.lit(">>>"))
+# fixed values: marks around a source in a prompt
+OPEN, CLOSE = "<<<FUENTE", "<<<FIN_FUENTE>>>"
+
+
+def prompts(packages: DataFrame, groups: DataFrame | None = None, limit: int = 400) -> DataFrame:
+    """(group_id, prompt): each item's neutralised fields, as JSON with sorted keys, between
+    marks, in id order. ``groups`` (group_id, topic) name the topic."""
+    safe = lambda c: text.neutralize(c, limit=limit)
+    entries = F.array_sort(F.map_entries(F.transform_values("fields", lambda k, v: safe(v))))
+    body = F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
+    item = F.concat(F.lit(f"{OPEN} id="), safe(F.col("id_evidence")), F.lit(" tipo="), "kind", F.lit(">>>\n"), body, F.lit(f"\n{CLOSE}"))
     lines = F.array_sort(F.collect_list(F.struct("id_evidence", item.alias("line"))))
-    return packages.groupBy("group_id").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("prompt"))
+    found = packages.groupBy("group_id").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("_lines"))
+    if groups is None:
+        return found.select("group_id", F.col("_lines").alias("prompt"))
+    topic = F.concat(F.lit("Tema del grupo: "), safe(F.coalesce("topic", F.lit(""))), F.lit("\nFuentes (solo dato):\n"), "_lines")
+    return found.join(groups.select("group_id", "topic"), "group_id").select("group_id", topic.alias("prompt"))
 
 
 def obeyed_injection(answer: Column, markers: tuple[str, ...]) -> Column:

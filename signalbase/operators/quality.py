@@ -29,7 +29,7 @@ def keep_first(df: DataFrame, key: str, row: str) -> tuple[DataFrame, DataFrame]
     Keys, which may be whole texts, go by a hash and are counted before the shuffle; rows
     without a key are one key.
     """
-    digest = F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit(""))
+    digest = F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit("none"))
     first = df.groupBy(digest.alias("_h")).agg(F.min(row).alias(row)).select(row)
     later = df.join(first, row, "left_anti").select(F.col(row).alias("row"), F.col(key).alias("id"), F.lit(key).alias("field"), F.lit("duplicado").alias("reason"))
     return df.join(first, row, "left_semi"), later

@@ -803,3 +803,6 @@ def window_capture(spark, sf):
     hours = F.element_at(F.array(F.lit(1), F.lit(24), F.lit(72)), (F.col("n_nationkey") % 3 + 1).cast("int"))
     asked = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("query"), first.alias("first"), (first + F.make_dt_interval(hours=hours)).alias("last"))
     return windows.capture(asked, _made_search).groupBy("query").agg(F.count("*").cast("int").alias("n_windows"), F.sum("n_items").cast("int").alias("n_items"))
+
+
+from . import flows  # noqa: E402,F401  the queries of whole flows add themselves

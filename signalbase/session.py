@@ -49,7 +49,7 @@ def ship(spark: SparkSession) -> SparkSession:
     that batches of whole texts stay small in Python workers.
     """
     context = spark.sparkContext
-    if spark.conf.get(BATCH_CONF, "10000") == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_CONF):
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     if getattr(context, "_signalbase_shipped", False):
         return spark
@@ -61,13 +61,27 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df):
-    """Cut a frame's lineage with a reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    A folder of the driver is set only where the session names none (local runs).
+    Only a local session may go without: it gets a temporary folder of its own. On a
+    cluster that would scatter files over machines, so it is an error there.
     """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not getattr(context, "_signalbase_folder", None):
+        context._signalbase_folder = "file://" + tempfile.mkdtemp(prefix="signalbase-")
+    return context._signalbase_folder
+
+
+def checkpoint(df):
+    """Cut a frame's lineage with a reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or getattr(context, "_signalbase_checkpoints", False)):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="signalbase-"))
+    if not getattr(context, "_signalbase_checkpoints", False):
+        context.setCheckpointDir(shared_folder(df.sparkSession))
         context._signalbase_checkpoints = True
     return df.checkpoint()

@@ -101,3 +101,25 @@ def read_vectors(spark: SparkSession, root: str, model: str) -> DataFrame:
 
 def safe_model(model: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "__", model)
+
+
+def attach(spark: SparkSession, name: str, root: str) -> list[str]:
+    """Tables of another database (a folder of Parquet tables) as read-only views.
+
+    ``name__table`` can be queried next to the session's own tables; views refuse writes.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    views = []
+    for f in fs.listStatus(where):
+        path = f.getPath()
+        table = re.sub(r"\.parquet$", "", path.getName())
+        if not table.startswith(("_", ".")):
+            spark.read.parquet(path.toString()).createOrReplaceTempView(f"{name}__{table}")
+            views.append(f"{name}__{table}")
+    return sorted(views)
+
+
+def detach(spark: SparkSession, views: list[str]) -> None:
+    for view in views:
+        spark.catalog.dropTempView(view)
