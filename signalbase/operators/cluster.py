@@ -85,27 +85,31 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array(out)), nodes.take(pa.array(root[out]))], ["u", "v"])
 
 
-def components(nodes: DataFrame, pairs: DataFrame, key: str, save) -> DataFrame:
-    """(key, component): the least key reachable over pairs (a, b).
+def stars(pairs: DataFrame, kind: str, save) -> DataFrame:
+    """(u, v): every node of pairs (a, b) with the least node it reaches, itself left out.
 
     Edges of a batch are contracted to stars first; then large-star and small-star steps
     alternate, whose number grows with the logarithm of the graph's size, until every
     edge leads from a node of one edge to a node that none leaves. ``save(df)`` cuts
-    lineage (checkpoint or written table).
+    lineage (checkpoint or written table). ``kind`` is the nodes' type.
     """
-    kind = dict(nodes.dtypes)[key]
     edges = save(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_contracted, f"u {kind}, v {kind}").distinct())
     while True:
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
-            break
+            return edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        # every node keeps its own edge to its neighbourhood's minimum
         large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         edges = save(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
-    found = edges.select(F.col("u").alias(key), F.col("v").alias("_c"))
+
+
+def components(nodes: DataFrame, pairs: DataFrame, key: str, save) -> DataFrame:
+    """(key, component): the least key reachable over pairs (a, b)."""
+    found = stars(pairs, dict(nodes.dtypes)[key], save).select(F.col("u").alias(key), F.col("v").alias("_c"))
     return nodes.select(key).join(found, key, "left").select(key, F.coalesce("_c", key).alias("component"))
 
 
