@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent (local sessions, tests) a temporary folder
-    of the driver is used.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = sc._jsc.getCheckpointDir().orElse(None) if hasattr(sc._jsc, "getCheckpointDir") else None
-        if path is not None and not isinstance(path, str):
-            path = None
-    if not path:
-        path = getattr(spark, "_signalbase_scratch", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="signalbase-")
-            spark._signalbase_scratch = path
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+from ..session import shared_folder
 
 
 class Scratch:
-    """Tables of one operator run, in a folder of their own in ``shared_dir``.
+    """Tables of one operator run, in a folder of their own in the shared one.
 
     ``save`` writes a frame and reads it back, so lineage ends at files that
     every executor sees; a lost executor re-reads them. ``drop`` removes a table
@@ -41,7 +20,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -52,15 +31,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of finished steps now.
-
-        They go when the driver collects the frames that made them; a long run of
-        steps would otherwise hold all of them on the executors' disks.
-        """
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)

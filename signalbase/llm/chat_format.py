@@ -13,7 +13,8 @@ tokenizer always cuts, so blocks' ids joined are the whole conversation's ids.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn, then role
 and text, so repeated rows stay and ties are settled; a null conv_id is a conversation
-of its own; empty assistant texts have no span; an empty table gives no rows.
+of its own; empty assistant texts have no span; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,8 +144,12 @@ _NAMES = ["conv_id", "block", "text", "ids", "loss_mask", "loss_spans"]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, recovered from formatted text and loss spans."""
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """Digests of each conversation, recovered from formatted text and loss spans.
+
+    ``in_order`` says that blocks come conversation by conversation and in their order, as
+    ``format_conversations`` gives them; they are not shuffled again then.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, out = object(), None, []
@@ -179,7 +184,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), _DIGEST)], names=_DIGESTS)
 
-    ordered = formatted.select("conv_id", "block", "text", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    ordered = formatted.select("conv_id", "block", "text", "loss_spans")
+    if not in_order:
+        ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "block")
     return ordered.mapInArrow(apply, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -22,7 +22,8 @@ Training documents are those whose crc32(id as text) mod 5 is not 1.
 
 Defined cases: null and empty texts have the end token only; a null id counts as the
 empty string and trains; repeated rows count and are scored each; an empty training
-set leaves uniform bytes and N = V = 0; further columns are ignored.
+set leaves uniform bytes and N = V = 0; further columns are ignored; a zero byte in a text
+is the same symbol as the padding before it and its end.
 """
 
 from __future__ import annotations
@@ -271,9 +272,9 @@ def gram_scores(totals: DataFrame) -> DataFrame:
         key, n = (table.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
         grams, known = key.view(np.uint64), n > 0
         bits = Trie(low, grams[known], n[known].astype(float), MAX_ORDER).bits(grams)
-        return pa.table({"key": pa.array(key), "bits": pa.array(bits.astype(np.float32))})
+        return pa.table({"key": pa.array(key), "bits": pa.array(bits)})
 
-    return totals.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(buckets))).groupBy("bucket").applyInArrow(apply, "key long, bits float")
+    return totals.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(buckets))).groupBy("bucket").applyInArrow(apply, "key long, bits double")
 
 
 def frequent_words(words: DataFrame, max_words: int = MAX_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -301,7 +302,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = lambda kind: counts.where(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n"))
     words, totals = scratch.save(total(0), "words"), scratch.save(total(1), "grams")
     bits = scratch.save(gram_scores(totals), "bits")
-    scratch.release()
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, keys, ns = frequent_words(words)
     model = spark.sparkContext.broadcast((Table(keys), np.log10(ns + 0.5)))
@@ -309,7 +309,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = counts.where("kind = 1").select("block", "key").join(bits, "key")
     none = lambda kind: F.lit(None).cast(kind)
     parts = named.select("block", F.lit(0).alias("part"), "key", "bits", none("long").alias("doc_id"), none("string").alias("text")).union(
-        blocks.select("block", F.lit(1), "row", none("float"), "doc_id", "text")
+        blocks.select("block", F.lit(1), "row", none("double"), "doc_id", "text")
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     continue
                 if grams is None:
                     grams = Table(np.concatenate([k for k, _ in pieces]).view(np.uint64))
-                    values, pieces = np.concatenate([v for _, v in pieces]).astype(float), []
+                    values, pieces = np.concatenate([v for _, v in pieces]), []
                 out = held_out(batch.column(4))
                 for chunk in chunks(batch.column(5)):
                     hashes, pointer = word_hashes(chunk)
@@ -360,7 +360,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     scored = scratch.save(parts.repartition("block").sortWithinPartitions("block", "part").mapInArrow(apply, ROW), "scored")
     scratch.drop("texts", "counts", "grams", "bits")
-    scratch.release()
     pairs = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("key"), F.col("x.times").alias("times"))
     rare = pairs.join(words.where(F.col("n") < F.lit(least)), "key")
     found = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(half))).alias("gain"))

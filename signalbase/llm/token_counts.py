@@ -9,9 +9,12 @@ Tie rules are the tokenizer's: of equal scores the path whose last piece starts
 stays; a character that is no piece costs the least score less ``UNKNOWN_PENALTY``, and
 unknown characters count as their bytes.
 
-Counts of parts are kept in a cache of bounded size, cleared when full.
+Counts of parts are kept in a cache bounded in entries and characters, cleared when full;
+parts over ``LONG`` characters are counted each time.
 
-Defined cases: null and empty texts have 0 tokens; repeated rows count each.
+Defined cases: null and empty texts have 0 tokens; a text of any length is counted whole,
+one without spaces as one part; repeated rows count each; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from ._text import chunks
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+CACHE, LONG = 400_000, 64
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -91,7 +94,9 @@ class Counter:
             if n is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                n = cache[p] = self.part(SPACE + p)
+                n = self.part(SPACE + p)
+                if len(p) <= LONG:
+                    cache[p] = n
             total += n
         return total
 

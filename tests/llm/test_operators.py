@@ -223,6 +223,9 @@ def test_token_counts(docs, odd):
         assert counter.count(t) == len(whole.encode(t, add_special_tokens=False).ids), t[:80]
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(odd).collect()}
     assert got[1] == got[2] == 0 and len(got) == len({r[0] for r in ODD})
+    long = "ñandú🙂x" * 3000
+    assert counter.count(long) == len(whole.encode(long, add_special_tokens=False).ids) and long not in counter.cache
+    assert token_counts.count_tokens(docs.where("false")).count() == 0
 
 
 def test_ngram_join(docs, odd):
@@ -579,6 +582,10 @@ def test_chat_format(spark, monkeypatch):
         said = "".join(x for _, r, x in mine if r == "assistant")
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    made = chat_format.format_conversations(df.withColumns({"ids": F.lit(1), "block": F.lit(2)}))
+    again = {r["conv_id"]: tuple(r) for r in chat_format.read_back(made, in_order=True).collect()}
+    assert again == {k: tuple(r) for k, r in got.items()}
+    assert chat_format.read_back(chat_format.format_conversations(df.where("false"))).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -678,3 +685,21 @@ def test_pipeline(spark):
     assert len({parts[i] for i in kept}) == len(kept)
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs.where("false"), SF).columns == docs.columns
+    assert corpus_pipeline.pack(spark, docs.where("false"), SF).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows and clashing ids go through all stages."""
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id", "left_semi").limit(6).collect()
+    rows = [tuple(r) for r in good] + [tuple(good[0])] * 3 + [(None, *tuple(good[1])[1:]), (None, good[1]["text"] + " fin", "es", "s", 1), (good[2]["doc_id"], good[3]["text"][::-1], "es", "s", 1), (900001, None, None, None, None), (900002, "", "es", "s", 0), (None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert packed and all(r["length"] <= packing.CAPACITY for r in packed)
+    assert {r["doc_id"] for r in packed} <= {r["doc_id"] for r in good} | {None}
