@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO = r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?\s*$"
+_CLOCK = r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+CALENDAR = r"^(\d{4})(-?)(\d{2})\2(\d{2})" + _CLOCK
+WEEK = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?" + _CLOCK
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text as a timestamp; blank and bad texts are null."""
-    return F.when(text.rlike(ISO), F.try_to_timestamp(F.trim(text)))
+    """ISO-8601 text as a timestamp, of calendar or week dates, with or without marks
+    between their parts; times without a zone are UTC. Blank and bad texts are null."""
+    t = F.trim(text)
+    by_week = F.coalesce(t.rlike(WEEK), F.lit(False))
+    part = lambda i: F.when(by_week, F.regexp_extract(t, WEEK, i)).otherwise(F.regexp_extract(t, CALENDAR, i))
+    given = lambda i, default: F.coalesce(F.nullif(part(i), F.lit("")), F.lit(default))
+    fourth = F.to_date(F.concat(part(1), F.lit("-01-04")))
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    number = lambda i, default: given(i, default).cast("int")
+    counted = F.date_add(monday, (number(3, "1") - 1) * 7 + number(4, "1") - 1)
+    week = F.when(F.weekofyear(counted) == number(3, "0"), F.date_format(counted, "yyyy-MM-dd"))
+    day = F.when(by_week, week).otherwise(F.concat_ws("-", part(1), part(3), part(4)))
+    zone = F.regexp_replace(given(9, "Z"), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    zone = F.regexp_replace(zone, r":$", ":00")
+    clock = F.concat(F.lit("T"), given(5, "00"), F.lit(":"), given(6, "00"), F.lit(":"), given(7, "00"), F.lit("."), F.rpad(F.left(given(8, "0"), F.lit(6)), 6, "0"), zone)
+    return F.when(by_week | t.rlike(CALENDAR), F.try_to_timestamp(F.concat(day, clock)))
 
 
 def bad_date(text: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -97,24 +97,28 @@ def markdown_blocks(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, pos, kind, text): headings, items, quotes, code, rules and paragraphs.
 
     A fence toggles code; code left open at the end counts if it has a line. ``pos`` is
-    the line (a code block's last one).
+    the line (a code block's last one). Each text is folded within its row, without a shuffle.
     """
-    lines = df.select(key, F.posexplode(F.split(body, r"\r\n|\n|\r")).alias("pos", "raw")).withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", ""))
-    order = Window.partitionBy(key).orderBy("pos")
-    fence = F.col("line").startswith("```")
-    numbered = lines.withColumn("fence", fence).withColumn("n", F.sum(fence.cast("int")).over(order)).withColumn("last", F.max("n").over(Window.partitionBy(key)))
-    inside = F.col("n") % 2 == 1
-    code = numbered.where(inside).groupBy(key, "n").agg(
-        F.max("pos").alias("pos"), F.max("last").alias("last"), F.count_if(~F.col("fence")).alias("lines"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("fence"), F.struct("pos", "raw")))), lambda x: x["raw"]), "\n").alias("text"),
-    )
-    blocks = code.where("last > n or lines > 0").select(key, "pos", F.lit("code").alias("kind"), "text")
-    line = F.col("line")
-    marks = F.length(F.regexp_extract("line", r"^(#{1,3}) ", 1))
-    kind = (
-        F.when(line.isin("---", "***"), "divider").when(marks > 0, F.concat(F.lit("heading_"), marks.cast("string"))).when(line.rlike(r"^[-*] "), "bulleted_list_item")
-        .when(line.rlike(r"^\d+[.)] "), "numbered_list_item").when(line.startswith("> "), "quote").otherwise("paragraph")
-    )
-    plain = F.when(line.isin("---", "***"), "").otherwise(F.regexp_replace("line", r"^(#{1,3}|[-*]|\d+[.)]|>) ", ""))
-    rest = numbered.where(~inside & ~F.col("fence") & (line != "")).select(key, "pos", kind.alias("kind"), plain.alias("text"))
-    return rest.unionByName(blocks)
+    rows = df.select(key, F.split(body, r"\r\n|\n|\r").alias("raw")).withColumn("line", F.transform("raw", lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
+    fences = F.filter(F.transform("line", lambda x, i: F.when(x.startswith("```"), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("fences", F.coalesce(fences, F.array().cast("array<int>")))
+
+    def kind(line: Column) -> Column:
+        marks = F.length(F.regexp_extract(line, r"^(#{1,3}) ", 1))
+        return (
+            F.when(line.isin("---", "***"), "divider").when(marks > 0, F.concat(F.lit("heading_"), marks.cast("string"))).when(line.rlike(r"^[-*] "), "bulleted_list_item")
+            .when(line.rlike(r"^\d+[.)] "), "numbered_list_item").when(line.startswith("> "), "quote").otherwise("paragraph")
+        )
+
+    def block(pos: Column, name: Column, value: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), name.alias("kind"), value.alias("text"))
+
+    text = lambda line: F.when(line.isin("---", "***"), "").otherwise(F.regexp_replace(line, r"^(#{1,3}|[-*]|\d+[.)]|>) ", ""))
+    shown = F.transform("line", lambda x, i: F.when((x != "") & ~x.startswith("```") & (F.size(F.filter("fences", lambda p: p <= i)) % 2 == 0), block(i, kind(x), text(x))))
+    # every second fence opens code, up to the next one or the end
+    opening = F.filter(F.transform("fences", lambda p, k: F.when(k % 2 == 0, k)), lambda k: k.isNotNull())
+    start = lambda k: F.get("fences", k)
+    end = lambda k: F.coalesce(F.get("fences", k + 1), F.size("raw"))
+    inner = lambda k: end(k) - start(k) - 1
+    code = F.transform(opening, lambda k: F.when((k + 1 < F.size("fences")) | (inner(k) > 0), block(end(k) - 1, F.lit("code"), F.array_join(F.slice("raw", start(k) + 2, inner(k)), "\n"))))
+    return rows.select(key, F.inline(F.filter(F.concat(shown, code), lambda b: b.isNotNull())))

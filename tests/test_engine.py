@@ -49,6 +49,34 @@ def test_dates(spark):
     assert list(row) == ["2026-10-05T19:30:00Z", "2026-10-05T00:00:00Z", True, False, "2026-10-06T01:00:00Z", "2026-10-05T19:30:00Z", True]
 
 
+def test_iso_dates_of_all_shapes(spark):
+    """As Python reads them, naive ones in UTC."""
+    from datetime import datetime, timezone
+
+    texts = ["2026-01-05", "20260105", "2026-W01-1", "2026W011", "2026-W53", "2025-W53", "2020-W53-7", "2024-W00-1", "2026-W10-8", "2026-01-05T10", "2026-01-05 10:20", "20260105T1020", "2026-01-05T10:20:30.5Z", "2026-01-05T10:20:30,123456+05:30", "2026-01-05T102030-0500", "2026-01-05T10:20:30+02", " 2026-01-05T23:59:59 ", "2026-13-01", "2026-02-30", "2026-0105", "ayer", "", "2026", "2026-01-05T25:00"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("t", F.date_format(dates.parse_iso(F.col("t")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("got")).collect():
+        try:
+            made = datetime.fromisoformat(r["t"].strip())
+            want = (made if made.tzinfo else made.replace(tzinfo=timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")
+        except ValueError:
+            want = None
+        assert r["got"] == want, r["t"]
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 777), (None, 500)) for v in np.round(rng.lognormal(0, 3, n), 2)] + [("d", None), ("e", 4.0), ("e", 4.0), ("e", None)]
+    got = {r["g"]: r for r in evaluate.latency(spark.createDataFrame(rows, "g string, v double"), "v", "g").collect()}
+    for g in {g for g, _ in rows}:
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g]["n"] == len(v)
+        if v:
+            assert got[g]["median"] == pytest.approx(np.median(v)) and got[g]["p95"] == pytest.approx(np.percentile(v, 95))
+        else:
+            assert got[g]["median"] is None and got[g]["p95"] is None
+
+
 def test_provenance_and_magnitudes(spark):
     row = one(
         spark,
