@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+COMMON = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 _CLOCK = r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 CALENDAR = r"^(\d{4})(-?)(\d{2})\2(\d{2})" + _CLOCK
 WEEK = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?" + _CLOCK
@@ -26,7 +27,8 @@ def parse_iso(text: Column) -> Column:
     zone = F.regexp_replace(given(9, "Z"), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
     zone = F.regexp_replace(zone, r":$", ":00")
     clock = F.concat(F.lit("T"), given(5, "00"), F.lit(":"), given(6, "00"), F.lit(":"), given(7, "00"), F.lit("."), F.rpad(F.left(given(8, "0"), F.lit(6)), 6, "0"), zone)
-    return F.when(by_week | t.rlike(CALENDAR), F.try_to_timestamp(F.concat(day, clock)))
+    # Spark reads the common shape itself; only other texts are taken apart
+    return F.when(t.rlike(COMMON), F.try_to_timestamp(t)).otherwise(F.when(by_week | t.rlike(CALENDAR), F.try_to_timestamp(F.concat(day, clock))))
 
 
 def bad_date(text: Column) -> Column:
