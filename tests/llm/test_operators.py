@@ -265,10 +265,39 @@ def test_ngram_join_over_many_leaves(spark, monkeypatch):
             least[i] = least[j] = min(least[i], least[j])
     numbered = []
     whole = ngram_join._survivors
+    few = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "HOT", 5)
     monkeypatch.setattr(ngram_join, "_survivors", lambda *a: numbered.append(1) or whole(*a))
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(least)) and numbered and len(set(least)) > 1
+    assert got == few == dict(enumerate(least)) and numbered and len(set(least)) > 1
+
+
+def test_ngram_join_of_texts_with_a_common_line(spark, monkeypatch):
+    """Short texts of a licence and few words of their own, some of them near copies: the
+    licence's segments are hot, and routing by rarity leaves few to compare."""
+    rng = np.random.default_rng(11)
+    licence = [f"lic{i}" for i in range(24)]
+    rows = []
+    for i in range(500):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(16, 24)))]
+        rows.append(licence + own)
+        if i % 10 == 0:
+            rows.append([*licence, *own, "fin"])
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in rows]
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                least[i] = least[j] = min(least[i], least[j])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    compared = []
+    whole = ngram_join._close
+    monkeypatch.setattr(ngram_join, "_close", lambda label, members, *a: compared.append(sum(r["count"] ** 2 for r in members.groupBy("key").count().collect())) or whole(label, members, *a))
+    for hot in (10**9, 20):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(df).collect()} == dict(enumerate(least))
+    assert compared[0] > 10_000 and compared[1] < compared[0] / 10
 
 
 @settings(max_examples=60, deadline=None)
