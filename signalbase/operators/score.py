@@ -107,28 +107,37 @@ def _near(groups: DataFrame, events: DataFrame, before: float, after: float, key
     return left.join(right, ["_bucket", *keys]).where((delta >= F.lit(-before * 3600e6)) & (delta <= F.lit(after * 3600e6))).drop("_bucket")
 
 
+def _counted(asked: DataFrame, known: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``asked`` (keys, t, turn, ...) with ``n``: the rows of ``known`` (keys, t) of the
+    same keys before t, and at t if turn is 2, not if it is 0.
+
+    Running sums: of whole hours over the hours there are, and inside an hour over its
+    rows. So no pair is formed, however many rows a window holds.
+    """
+    hour = F.floor(F.col("t") / 3_600_000_000)
+    rows = asked.withColumn("is_event", F.lit(0)).unionByName(known.select(*keys, "t", F.lit(1).alias("turn"), F.lit(1).alias("is_event")), allowMissingColumns=True).withColumn("hour", hour)
+    per = known.groupBy(*keys, hour.alias("hour")).agg(F.count("*").alias("n"))
+    hours = rows.select(*keys, "hour").distinct().join(per, [*keys, "hour"], "left").select(*keys, "hour", F.coalesce("n", F.lit(0)).alias("n"))
+    # as many rows as there are hours; they don't grow with the events
+    before = hours.select(*keys, "hour", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("is_event").over(Window.partitionBy(*keys, "hour").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.withColumn("inside", inside).where("is_event = 0").join(before, [*keys, "hour"])
+    return counted.select(*asked.columns, (F.col("before") + F.col("inside")).alias("n"))
+
+
 def count_events(groups: DataFrame, events: DataFrame, days: float) -> DataFrame:
     """(group_id, n_events) within ``days`` either way, both ends included; groups without
     any, or without a time, have 0.
 
-    The events up to a window's end, less those before its start, are counted by running
-    sums: of whole hours over the hours there are, and inside an hour over its rows. So
-    no pair is formed, however many events a window holds.
+    They are the events up to a window's end, less those before its start.
     """
-    hour, reach = 3_600_000_000, int(days * 86_400_000_000)
+    reach = int(days * 86_400_000_000)
     at = F.unix_micros("ts")
     # an event counts for a start only if before it, for an end also if at it
     edges = F.array(F.struct((at - reach).alias("t"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")), F.struct((at + reach).alias("t"), F.lit(2).alias("turn"), F.lit(1).alias("sign")))
-    asked = groups.where("ts is not null").select("group_id", F.inline(edges), F.lit(0).alias("is_event"))
-    known = events.where("event_ts is not null").select(F.lit(None).cast("string").alias("group_id"), F.unix_micros("event_ts").alias("t"), F.lit(1).alias("turn"), F.lit(0).alias("sign"), F.lit(1).alias("is_event"))
-    rows = asked.select(F.col("group_id").cast("string").alias("group_id"), "t", "turn", "sign", "is_event").union(known).withColumn("hour", F.floor(F.col("t") / hour))
-    per = known.groupBy(F.floor(F.col("t") / hour).alias("hour")).agg(F.count("*").alias("n"))
-    hours = rows.select("hour").distinct().join(per, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
-    # as many rows as there are hours; they don't grow with the events
-    before = hours.select("hour", F.coalesce(F.sum("n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.sum("is_event").over(Window.partitionBy("hour").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0))
-    counted = rows.withColumn("inside", inside).where("is_event = 0").join(before, "hour")
-    found = counted.groupBy("group_id").agg(F.sum(F.col("sign") * (F.col("before") + F.col("inside"))).alias("n"))
+    asked = groups.where("ts is not null").select(F.col("group_id").cast("string").alias("group_id"), F.inline(edges))
+    known = events.where("event_ts is not null").select(F.unix_micros("event_ts").alias("t"))
+    found = _counted(asked, known).groupBy("group_id").agg(F.sum(F.col("sign") * F.col("n")).alias("n"))
     named = groups.select("group_id", F.col("group_id").cast("string").alias("_g"))
     return named.join(found.withColumnRenamed("group_id", "_g"), "_g", "left").select("group_id", F.coalesce("n", F.lit(0)).alias("n_events"))
 
@@ -141,12 +150,30 @@ def unique_links(groups: DataFrame, events: DataFrame, condition: Column, before
 
 def quake_links(groups: DataFrame, events: DataFrame, rules: config.Rules = config.Rules()) -> DataFrame:
     """Headline to catalogue event: a quake word, a magnitude within tolerance, a shared
-    place token, a time in the window, and one such event only."""
+    place token, a time in the window, and one such event only.
+
+    Events of one magnitude and the same place tokens are a kind. Headlines meet kinds,
+    not events: how many of a kind lie in a window, and which is the first of them in
+    time, come from running counts.
+    """
     plain = text.unaccent(F.coalesce("title", F.lit("")))
     hit = F.lit(False)
     for w in config.QUAKE_WORDS:
         hit = hit | F.contains(plain, F.lit(w))
-    told = groups.where(hit).select("group_id", "ts", text.magnitudes(F.col("title")).alias("_told"), text.place_tokens(F.col("title")).alias("_places"))
-    known = events.select("event_id", "event_ts", "magnitude", text.place_tokens(F.col("place")).alias("_where"))
+    kind, said = ["magnitude", "_where"], ["_told", "_places"]
+    told = groups.where(hit & F.col("ts").isNotNull()).select("group_id", F.unix_micros("ts").alias("_at"), text.magnitudes(F.col("title")).alias("_told"), text.place_tokens(F.col("title")).alias("_places"))
+    known = events.where("event_ts is not null").select("event_id", F.unix_micros("event_ts").alias("t"), "magnitude", text.place_tokens(F.col("place")).alias("_where"))
     close = F.exists("_told", lambda m: F.abs(m - F.col("magnitude")) <= rules.link_tolerance)
-    return unique_links(told, known, close & F.arrays_overlap("_places", "_where"), rules.link_before_hours, rules.link_after_hours)
+    kinds = known.select(*kind).distinct().withColumn("_token", F.explode("_where"))
+    met = told.select(*said).distinct().withColumn("_token", F.explode("_places")).join(kinds, "_token").where(close).select(*said, *kind).distinct()
+    asked = told.select(*said, "_at").distinct().join(met, said).select(*said, "_at", *kind)
+    first, last = F.col("_at") - int(rules.link_after_hours * 3_600_000_000), F.col("_at") + int(rules.link_before_hours * 3_600_000_000)
+    edges = F.array(F.struct(first.alias("t"), F.lit(0).alias("turn")), F.struct(last.alias("t"), F.lit(2).alias("turn")))
+    counts = _counted(asked.select(*kind, "_at").distinct().select(*kind, "_at", F.inline(edges)), known, tuple(kind))
+    held = counts.groupBy(*kind, "_at").agg(F.min("n").alias("before"), (F.max("n") - F.min("n")).alias("n")).where("n > 0")
+    # the one event of a window has as many before it as the window has
+    alone = F.max(F.when(F.col("n") == 1, F.struct(*kind, "before"))).alias("one")
+    per = asked.join(held, ["_at", *kind]).groupBy(*said, "_at").agg(F.sum("n").alias("n"), alone)
+    linked = told.join(per, [*said, "_at"]).groupBy("group_id").agg(F.sum("n").alias("n"), F.max("one").alias("one")).where("n = 1").select("group_id", "one.*")
+    placed = _counted(known.withColumn("turn", F.lit(0)), known, tuple(kind)).select(*kind, F.col("n").alias("before"), "event_id")
+    return linked.join(placed, [*kind, "before"]).select("group_id", "event_id")

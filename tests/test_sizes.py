@@ -1,11 +1,14 @@
 """Queries on rows that the small tables lack, against their SQL, and operators on many rows."""
 
+import random
+import time
 from pathlib import Path
 
 from conftest import SF
 from oracle import TABLES, differences
 from pyspark.sql import functions as F
 
+from signalbase.operators import score
 from signalbase.plans import catalogue
 
 
@@ -34,3 +37,30 @@ def test_benchmark_of_questions_without_terms(spark, tmp_path):
     more = bare.select(*(ids.alias(c) if c == "conv_id" else c for c in talks.columns)).withColumn("text", F.when(F.col("conv_id") % 2 == 0, "A to of, y que."))
     sf = tables_with(tmp_path, conversations=talks.union(more))
     assert differences(catalogue.QUERIES["qa_benchmark"](spark, sf), catalogue.ORACLE["qa_benchmark"], sf) == ""
+
+
+def test_quake_links_by_definition(spark):
+    rng = random.Random(3)
+    hours = lambda: rng.choice([float(rng.randrange(600)), rng.uniform(0, 600)])
+    places = ("Boquete", "Chitré, Boquete", "David", "Boquete y Chitré")
+    told = [(f"g{i % 130}", hours(), rng.choice(places), tuple(round(rng.uniform(4, 6), 1) for _ in range(rng.randint(1, 2)))) for i in range(150)]
+    known = [(f"e{i}", hours() if i % 9 else told[i][1], rng.choice(places), round(rng.uniform(4, 6), 2)) for i in range(60)]
+    words = lambda p: set(p.lower().replace("é", "e").replace(",", "").split()) - {"y"}
+    met = {}
+    for g, t, p, said in told:
+        met.setdefault(g, []).extend(e for e, u, q, m in known if t - 48 <= u <= t + 12 and words(p) & words(q) and any(abs(x - m) <= 0.2 for x in said))
+    want = {(g, e[0]) for g, e in met.items() if len(e) == 1}
+    at = lambda c: F.timestamp_micros(F.round(F.col(c) * 3.6e9).cast("long"))
+    groups = spark.createDataFrame([(g, t, f"Sismo en {p} de " + " y ".join(f"magnitud {m}" for m in s)) for g, t, p, s in told] + [("none", None, "Sismo de magnitud 5.0 en Boquete")], "group_id string, h double, title string").withColumn("ts", at("h"))
+    events = spark.createDataFrame([*known, ("none", None, "David", 5.0), ("void", 5.0, "David", None)], "event_id string, h double, place string, magnitude double").withColumn("event_ts", at("h"))
+    assert {tuple(r) for r in score.quake_links(groups, events).collect()} == want and len(want) > 20
+
+
+def test_quake_links_of_full_windows(spark):
+    many, base = 60_000, F.lit("2026-01-10").cast("timestamp")
+    groups = spark.range(many).select(F.concat(F.lit("g"), "id").alias("group_id"), F.lit("Sismo de magnitud 4.6 en Boquete").alias("title"), base.alias("ts"))
+    events = spark.range(many).select(F.concat(F.lit("e"), "id").alias("event_id"), base.alias("event_ts"), F.lit(4.6).alias("magnitude"), F.lit("Boquete").alias("place"))
+    began = time.monotonic()
+    assert score.quake_links(groups, events).count() == 0
+    assert score.quake_links(groups, events.limit(1)).count() == many
+    assert time.monotonic() - began < 60
