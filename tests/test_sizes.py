@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from signalbase.operators import cluster, score
 from signalbase.plans import catalogue
+from signalbase.session import checkpoint
 
 
 def tables_with(folder, **tables):
@@ -93,3 +94,20 @@ def test_one_component_meets_candidates_only(monkeypatch):
     began = time.monotonic()
     found = cluster.average_link_vectors(x, 0.35)
     assert sorted(i for c in found for i in c) == list(range(6000)) and time.monotonic() - began < 30
+
+
+def test_groups_by_candidates_as_by_matrix(spark):
+    x = vectors(np.random.default_rng(6), 900, 90, 16)
+    df = spark.createDataFrame([(i, float(i % 20) / 2, v.tolist()) for i, v in enumerate(x)], "k long, d double, v array<double>")
+    similar = x @ x.T
+    label, old = np.arange(900), None
+    while old is None or (label != old).any():
+        old, label = label, np.where(similar >= 0.5, label[None, :], 900).min(1)
+    want = set()
+    for c in set(label.tolist()):
+        mine = np.array(sorted(np.flatnonzero(label == c), key=lambda i: (i % 20, i)))
+        want |= {frozenset(mine[part].tolist()) for part in cluster.average_link(similar[np.ix_(mine, mine)], 0.5)}
+    got = {}
+    for k, g in cluster.group_events(df, "k", "d", "v", 10, 0.5, 10.0, checkpoint).collect():
+        got.setdefault(g, set()).add(k)
+    assert {frozenset(g) for g in got.values()} == want and max(np.bincount(label)) > cluster.DENSE
