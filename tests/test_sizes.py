@@ -5,6 +5,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from oracle import TABLES, differences
@@ -138,3 +139,14 @@ def test_pairs_of_a_large_component_by_many_tasks(spark, monkeypatch, links):
         assert c == part[k]
         got.setdefault(g, set()).add(k)
     assert {frozenset(g) for g in got.values()} == want and all(min(g) == name for name, g in got.items())
+
+
+def test_shingles_mix_each_word_once(monkeypatch):
+    ngram_join = pytest.importorskip("signalbase.llm.ngram_join")
+    from signalbase.llm._text import chunks
+
+    mixed, mix = [], ngram_join.mix64
+    monkeypatch.setattr(ngram_join, "mix64", lambda x: mixed.append(len(x)) or mix(x))
+    text = pa.array([" ".join(f"w{i % 700}" for i in range(1000))])
+    (_, found), = (pair for chunk in chunks(text) for pair in ngram_join.document_sets(chunk))
+    assert len(found) == 700 and (np.diff(found.astype(object)) > 0).all() and sum(mixed) < 2500
